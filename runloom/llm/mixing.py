@@ -4,8 +4,8 @@ The mix has the size of the whole corpus and is divided into ``blocks`` equal bl
 go to the sources by the highest quotient share / (2 a + 1), a being the blocks a source has; a source
 that runs into its cap of repeats keeps what it has. Within a source its blocks go to shards in the same
 way, in proportion to the shards' tokens. A shard uses all its documents as often as its quota holds
-them whole, and once more those in the first blocks of a seeded order. Shards hold a bounded share of
-the tokens, so a source with a third of all rows is many shards.
+them whole, and once more those in the first blocks of a seeded order. Shards hold a bounded number of
+documents, so a source with a third of all rows is many shards.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from runloom.session import cut
 
 BLOCKS = 10_000
-#: Blocks that a shard holds, about.
-SHARD_BLOCKS = 50
+#: Documents that a shard holds, about.
+SHARD_ROWS = 100_000
 
 
 def apportion(weights: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
@@ -45,7 +45,7 @@ def clean_source(column: Column) -> Column:
     return F.lower(F.btrim(column, F.lit(" \t\r\n")))
 
 
-def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tuple[str, str, float, int]], blocks: int = BLOCKS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tuple[str, str, float, int]], blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Uses and shares.
 
     ``targets``: (mix, source, target share, greatest number of uses of a document), a fixed small
@@ -54,20 +54,19 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
     share_of_target_size, share_reached, is_short)``; ``is_short`` if all documents at full repeats have
     fewer tokens than the target share of the tokens of all documents. Documents without source count
     in that total and are in no mix; null or zero sizes use no tokens and are left out; a target without
-    documents is short; an empty table makes every target with a positive share... not short, as its
-    target is 0 tokens. Equal documents are documents of their own; items must be unique.
+    documents is short unless there are no tokens at all (then every target is 0). Equal documents are documents of their own; items must be unique.
     """
     spark = sizes.sparkSession
     rows = cut(sizes.select(F.col(item).alias("item"), clean_source(F.col(source)).alias("source"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("tokens")))
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     size = max(1, -(-total // blocks))
     named = sorted({clean for _, clean, _, _ in targets})
-    # shards are cut from the row counts: about SHARD_BLOCKS blocks of tokens each
-    held = {r["source"]: r["tokens"] for r in rows.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    counts = {s: max(1, held.get(s, 0) // (size * SHARD_BLOCKS)) for s in named}
+    sums = rows.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
+    held = {r["source"]: r["tokens"] for r in sums}
+    counts = {s: 1 for s in named} | {r["source"]: -(-r["n"] // shard_rows) for r in sums}
     shards_of = spark.createDataFrame(pd.DataFrame({"source": pd.Series(list(counts), dtype=object), "shards": pd.Series(list(counts.values()), dtype="int64")}), "source string, shards long")
     placed = rows.where("tokens > 0").join(F.broadcast(shards_of), "source").withColumn("shard", F.pmod(F.xxhash64("item", F.lit(seed)), F.col("shards"))).drop("shards")
-    # at most blocks / SHARD_BLOCKS shards and one per source
+    # one row per shard_rows documents
     shard_tokens = {s: [] for s in named}
     for r in placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).orderBy("source", "shard").collect():
         shard_tokens[r["source"]].append((r["shard"], r["tokens"]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions.ids import one_per_message
-from runloom.llm import bitmaps, digests, mixing, packing, subsequences, tokens
+from runloom.llm import bitmaps, digests, mixing, packing, quality, subsequences, tokens
 from runloom.sources.tables import table
 
 DIMS = ["project_id", "agent_name", "model", "event_type"]
@@ -197,3 +197,23 @@ SELECT a.agent_name, a.model FROM a JOIN b ON a.model = b.model WHERE a.v > 3 *
     "p6_found": _STEPS + f"SELECT item_1, item_2, item_3 FROM three_n, n WHERE runs * {SUPPORT[1]} >= n.n * {SUPPORT[0]}",
     "p6_patterns": _STEPS + f"SELECT x.* FROM (SELECT * FROM one_n UNION ALL SELECT * FROM two_n UNION ALL SELECT * FROM three_n) x, n WHERE runs * {SUPPORT[1]} >= n.n * {SUPPORT[0]}",
 }
+
+
+def _statistics(spark: SparkSession, folder: str) -> DataFrame:
+    common: dict[str, list[str]] = {}
+    for row in table(spark, folder, "common_words").orderBy("lang", "rank_no").collect():  # fixed, 169 rows
+        common.setdefault(row["lang"], []).append(row["word"])
+    return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text", common)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of whose text more than half is lists, tables or junk."""
+    return _statistics(spark, folder).where("list_share + table_share + junk_share > 0.5").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality statistics of every document."""
+    return _statistics(spark, folder)
+
+
+QUERIES |= {f.__name__: f for f in (p10_found, p10_statistics)}
