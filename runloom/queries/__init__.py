@@ -1,6 +1,6 @@
 """The core's registered queries and their SQL."""
 
-from runloom.queries import messages
+from runloom.queries import messages, traces
 
-QUERIES = {**messages.QUERIES}
-SQL = {**messages.SQL}
+QUERIES = {**traces.QUERIES, **messages.QUERIES}
+SQL = {**traces.SQL, **messages.SQL}
