@@ -62,7 +62,7 @@ def trailing_totals(df: DataFrame, entity: str, time: str, value: str, windows:
         + [T.StructField(x, T.LongType() if x[0] == "c" or whole else T.DoubleType()) for x in names]
     )
 
-    def dense(key, group: pd.DataFrame) -> pd.DataFrame:
+    def dense(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         origin = int(key[1]) * size - halo
         asked = group["d"].isna().to_numpy()
         want, cell = group[asked], group[~asked]

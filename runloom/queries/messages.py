@@ -25,7 +25,7 @@ def p2_rolling_cost(spark: SparkSession, folder: str) -> DataFrame:
         "agent_name",
         F.date_format("day", "yyyy-MM-dd").alias("activity_day"),
         "n_day",
-        *[c for w in WINDOWS for c in (F.col(f"total_{w}").cast("decimal(18,6)").alias(f"total_{w}"), F.col(f"n_{w}"), F.round(f"mean_{w}", 8).alias(f"mean_{w}"), F.round(f"per_day_{w}", 8).alias(f"per_day_{w}"))],
+        *[c for w in WINDOWS for c in (F.col(f"total_{w}").cast("decimal(18,6)").alias(f"total_{w}"), F.col(f"n_{w}"), F.col(f"mean_{w}"), F.col(f"per_day_{w}"))],
     )
 
 
@@ -92,7 +92,7 @@ def _window_sql(w: int) -> str:
     over = f"OVER (PARTITION BY agent_name ORDER BY d ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
     return (
         f"CAST(sum(v) {over} AS DECIMAL(18,6)) AS total_{w}, CAST(sum(c) {over} AS BIGINT) AS n_{w}, "
-        f"round(CAST(sum(v) {over} AS DOUBLE) / nullif(sum(c) {over}, 0), 8) AS mean_{w}, round(CAST(sum(v) {over} AS DOUBLE) / {w}, 8) AS per_day_{w}"
+        f"CAST(sum(v) {over} AS DOUBLE) / nullif(sum(c) {over}, 0) AS mean_{w}, CAST(sum(v) {over} AS DOUBLE) / {w} AS per_day_{w}"
     )
 
 

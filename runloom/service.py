@@ -84,7 +84,9 @@ class Service:
         found = _json(detail.trace)
         if not found:
             return 404, {"error": "no such trace"}
-        return 200, {**found[0], "runs": _json(detail.runs), "events": _json(hydrate(detail.events, self.ingestor.payloads()))}
+        # the lookup of the texts does not keep the order
+        events = hydrate(detail.events, self.ingestor.payloads()).orderBy("step_index", "timestamp", "event_id")
+        return 200, {**found[0], "runs": _json(detail.runs), "events": _json(events)}
 
     def handle(self, method: str, target: str, headers: dict[str, str], body: bytes) -> Answer:
         url = urlparse(target)

@@ -64,7 +64,7 @@ class Ingestor:
         except Exception as error:
             if self._attempt(batch_id) < self.max_attempts:
                 raise
-            batch.withColumns({"batch": F.lit(batch_id), "error": F.lit(str(error)[:2000])}).write.mode("overwrite").json(f"{self.root}/dead_letters/batch_{batch_id}")
+            batch.withColumn("error", F.lit(str(error)[:2000])).write.mode("overwrite").json(f"{self.root}/dead_letters/batch={batch_id}")
             return None
         return result
 
