@@ -14,7 +14,7 @@ WINDOWS = (7, 30)
 
 
 def _rolling(spark: SparkSession, folder: str) -> DataFrame:
-    events = one_per_message(table(spark, folder, "agent_events"), ["agent_name", "timestamp", "cost_usd"])
+    events = one_per_message(table(spark, folder, "agent_events", spread=True), ["agent_name", "timestamp", "cost_usd"])
     return rolling.trailing_totals(events, "agent_name", "timestamp", "cost_usd", WINDOWS)
 
 
@@ -56,7 +56,7 @@ def p5_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, folder: str) -> DataFrame:
-    events = one_per_message(table(spark, folder, "agent_events"), ["user_id", "timestamp"])
+    events = one_per_message(table(spark, folder, "agent_events", spread=True), ["user_id", "timestamp"])
     return sessions.sessions(events, "user_id", "timestamp").withColumnRenamed("entity", "user_id")
 
 

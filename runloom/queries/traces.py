@@ -50,7 +50,7 @@ t AS (SELECT trace_id, project_id, min(agent_name) AS agent_name, (max({'s': sta
 
 
 def _source(spark: SparkSession, folder: str) -> EventSource:
-    return EventSource(table(spark, folder, "agent_events"))
+    return EventSource(table(spark, folder, "agent_events", spread=True))
 
 
 def _rounded(frame: DataFrame) -> DataFrame:
