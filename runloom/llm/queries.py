@@ -106,7 +106,7 @@ def p6_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return tokens.with_tokens(table(spark, folder, "documents").select("doc_id", *columns, "text"))
+    return tokens.with_tokens(table(spark, folder, "documents", spread=True).select("doc_id", *columns, "text"))
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,8 +137,8 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets whose source is too small even at full repeats."""
-    return _mix(spark, folder)[1].where("is_short").select("mix_id", "source")
+    """Targets whose source is too small even at full repeats: short, and the mix as selected falls short of the target."""
+    return _mix(spark, folder)[1].where("is_short and tokens_used < tokens_target").select("mix_id", "source")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +203,7 @@ def _statistics(spark: SparkSession, folder: str) -> DataFrame:
     common: dict[str, list[str]] = {}
     for row in table(spark, folder, "common_words").orderBy("lang", "rank_no").collect():  # fixed, 169 rows
         common.setdefault(row["lang"], []).append(row["word"])
-    return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text", common)
+    return quality.text_statistics(table(spark, folder, "documents", spread=True), "doc_id", "text", common)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
