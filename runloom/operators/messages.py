@@ -8,6 +8,7 @@ a bucket holds at most one row per identifier and run. Upserting the same rows a
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,10 @@ class MessageStore:
     """One row per message in ``path``, as runs of hash buckets sorted by identifier.
 
     ``buckets`` is fixed when the store is made (default: the session's shuffle partitions, so that a
-    run's shuffle partitions are its buckets). Null identifiers: every such row is a message, unless a
-    row repeats in all columns. Empty input adds an empty run. Columns may have any names.
+    run's shuffle partitions are its buckets). A path that holds a store is opened with what its
+    manifest says, so a later session goes on with it. One writer at a time. Null identifiers: every
+    such row is a message, unless a row repeats in all columns. Empty input adds an empty run. Columns
+    may have any names; all runs of a store have the same.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, id_column: str = "event_id", order_column: str = "delivery_seq", buckets: int | None = None):
@@ -53,6 +56,36 @@ class MessageStore:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.generation = 0
         self._name = f"runloom_messages_{uuid.uuid4().hex}"
+        if path:
+            self._open()
+
+    def _manifest(self):
+        """Its Hadoop path and file system."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _open(self) -> None:
+        at, fs = self._manifest()
+        if not fs.exists(at):
+            return
+        known = json.loads("\n".join(r[0] for r in self.spark.read.text(str(at)).collect()))  # one line
+        self.buckets, self.generation, self.id_column, self.order_column = known["buckets"], known["generation"], known["id"], known["order"]
+        self.spark.sql(
+            f"CREATE TABLE {self.table} ({known['schema']}) USING parquet CLUSTERED BY ({KEY}) SORTED BY ({KEY}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/generation={self.generation}'"
+        )
+
+    def _record(self, generation: int) -> None:
+        """Make ``generation`` the current one; the manifest is written aside and renamed."""
+        at, fs = self._manifest()
+        fields = self.spark.table(f"{self._name}_{generation}")._jdf.schema().toDDL()
+        data = json.dumps({"buckets": self.buckets, "generation": generation, "id": self.id_column, "order": self.order_column, "schema": fields})
+        aside = at.suffix(".new")
+        out = fs.create(aside, True)
+        out.write(bytearray(data, "utf-8"))
+        out.close()
+        fs.delete(at, False)
+        fs.rename(aside, at)
 
     @property
     def table(self) -> str:
@@ -69,6 +102,7 @@ class MessageStore:
             .option("path", f"{self.path}/generation={generation}")
             .saveAsTable(f"{self._name}_{generation}")
         )
+        self._record(generation)
 
     def upsert(self, df: DataFrame) -> None:
         """Append ``df`` as one run."""
@@ -85,6 +119,8 @@ class MessageStore:
     def compact(self) -> None:
         """Rewrite all runs of each bucket as one; the old runs are removed when the new one is complete."""
         old, old_path = self.table, f"{self.path}/generation={self.generation}"
+        # leftovers of a compaction that did not end
+        remove_path(self.spark, f"{self.path}/generation={self.generation + 1}")
         self._append(self.merged(), self.generation + 1)
         self.generation += 1
         self.spark.sql(f"DROP TABLE IF EXISTS {old}")

@@ -129,3 +129,10 @@ def test_series(source):
     raw = {"level": "event", "metric": {"agg": "count"}, "dimensions": ["agentName", {"time": "hour"}], "filters": [], "timeRange": WINDOW, "chartHint": "line"}
     rows = explorer.series(compile_plan(source, Plan.parse(raw)).frame, "agentName").collect()
     assert [(r["research-agent"], r["coder-agent"]) for r in rows] == [(6, None), (None, 4)]
+
+
+def test_views(spark, source):
+    from runloom.operators.views import create_views
+
+    create_views(source, "t_")
+    assert tuple(spark.sql("SELECT count(*), (SELECT count(*) FROM t_runs), (SELECT max(duration_ms) FROM t_traces) FROM t_events").first()) == (10, 2, 12_000)

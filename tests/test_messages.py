@@ -94,3 +94,21 @@ def test_redelivered_rows(frame, runs):
 def test_a_hot_identifier(frame):
     many = [(i, SPELLINGS[i % len(SPELLINGS)], "x") for i in range(2000)] + [(5000, B, "y")]
     assert redelivered(frame(many, SCHEMA)).count() == 1999
+
+
+def test_a_later_session_goes_on_with_a_store(frame, spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = SCHEMA.replace("x string", "`odd name` string, d decimal(12,6), s struct<a:int,b:string>")
+    from decimal import Decimal
+
+    first = MessageStore(spark, path, buckets=3)
+    first.upsert(frame([(1, A, "a", Decimal("1.5"), (1, "x")), (2, B, "b", None, None)], schema))
+    spark.sql(f"DROP TABLE {first.table}")
+    second = MessageStore(spark, path)
+    second.upsert(frame([(0, A.upper(), "z", None, None), (3, B, "c", None, None)], schema))
+    second.compact()
+    spark.sql(f"DROP TABLE {second.table}")
+    third = MessageStore(spark, path)
+    assert third.buckets == 3 and third.generation == 1
+    assert sorted((r.delivery_seq, r["odd name"]) for r in third.read().collect()) == [(0, "z"), (2, "b")]
+    third.drop()
