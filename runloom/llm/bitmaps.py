@@ -36,12 +36,22 @@ def position(column: Column, bits: int) -> Column:
     return F.conv(F.substring(F.md5(column.cast("string")), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1))
 
 
+#: Names of the operator's own columns, which a key cannot have.
+RESERVED = {"kind", "word", "bits", "mark"}
+
+
+def _checked(keys: list[str]) -> None:
+    if clash := RESERVED & {k.lower() for k in keys}:
+        raise ValueError(f"rename the keys {sorted(clash)}: the result has columns of these names")
+
+
 def sketch(df: DataFrame, keys: list[str], ids: list[str], bits: int) -> DataFrame:
     """Mergeable partial result: ``(keys..., kind, word, bits)``, ``kind`` being the index in ``ids``.
 
     Null identifiers set no bit; a null key is a group of its own; repeated rows change nothing; an
     empty table gives no rows.
     """
+    _checked(keys)
     marks = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("kind"), position(F.col(c), bits).alias("pos")) for i, c in enumerate(ids)])
     return (
         df.select(*[F.col(k) for k in keys], F.explode(marks).alias("mark"))

@@ -23,6 +23,15 @@ BLOCK = 400_000
 COMPRESSION = 200
 
 
+#: Names of the operator's own columns, which a key cannot have.
+RESERVED = {"mean", "weight", "low", "high", "p", "n", "estimate", "rank", "below", "above", "x", "cell", "c", "salt", "passed", "a", "b"}
+
+
+def _checked(keys: list[str]) -> None:
+    if clash := RESERVED & {k.lower() for k in keys}:
+        raise ValueError(f"rename the keys {sorted(clash)}: the result has columns of these names")
+
+
 def _schema(df: DataFrame, keys: list[str]) -> T.StructType:
     numbers = [T.StructField("mean", T.DoubleType()), T.StructField("weight", T.LongType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
     return T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + numbers)
@@ -52,7 +61,10 @@ def _clustered(frame: pd.DataFrame, keys: list[str], compression: int) -> pd.Dat
 
 
 def partial_digests(df: DataFrame, keys: list[str], value: str, compression: int = COMPRESSION) -> DataFrame:
-    """Centroids per group and block of rows, without a shuffle. Null and NaN values are left out."""
+    """Centroids per group and block of rows, without a shuffle. Null and NaN values are left out; null keys
+    are a group; extra columns are ignored; an empty table gives no rows."""
+
+    _checked(keys)
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

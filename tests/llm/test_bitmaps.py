@@ -76,3 +76,8 @@ def test_nulls_empty_and_full(frame):
     assert bitmaps.sketch(frame([], SCHEMA), ["day"], ["u", "r"], 64).count() == 0
     full = bitmaps.estimate(bitmaps.sketch(frame(rows(), SCHEMA), [], ["u"], 64).withColumn("g", F.lit(1)), ["g"], ["users"], 64).first()
     assert full.users is None and full.users_error is None
+
+
+def test_keys_that_clash(frame):
+    with pytest.raises(ValueError):
+        bitmaps.sketch(frame(rows(10), SCHEMA), ["Kind"], ["u"], 64)

@@ -76,3 +76,8 @@ def test_blocks_are_carried_over(df, truth, monkeypatch):
     frame = digests.pd.DataFrame({"g": ["a"] * 50, "mean": np.arange(50.0), "weight": 1, "low": np.arange(50.0), "high": np.arange(50.0)})
     out = digests._clustered(frame, ["g"], 20)
     assert out["weight"].sum() == 50 and len(out) < 50 and (out["low"].to_numpy()[1:] > out["high"].to_numpy()[:-1]).all()
+
+
+def test_keys_that_clash(df):
+    with pytest.raises(ValueError):
+        digests.partial_digests(df, ["mean"], "v")
