@@ -35,15 +35,15 @@ def trailing_totals(df: DataFrame, entity: str, time: str, value: str, windows:
     kind = df.schema[value].dataType
     scale = kind.scale if isinstance(kind, T.DecimalType) else None
     whole = scale is not None or isinstance(kind, T.IntegralType)
-    amount = F.sum(F.col(value))
+    amount = F.sum("x")
     if scale is not None:
         amount = (amount * F.lit(10**scale)).cast("long")
     amount = F.coalesce(amount.cast("long" if whole else "double"), F.lit(0).cast("long" if whole else "double"))
     cells = cut(
-        df.select(F.col(entity).alias("e"), F.unix_date(F.to_date(F.col(time))).alias("d"), F.col(value))
+        df.select(F.col(entity).alias("e"), F.unix_date(F.to_date(F.col(time))).alias("d"), F.col(value).alias("x"))
         .where("e is not null and d is not null")
         .groupBy("e", "d")
-        .agg(F.count("*").alias("n"), F.count(value).alias("nv"), amount.alias("v"))
+        .agg(F.count("*").alias("n"), F.count("x").alias("nv"), amount.alias("v"))
     )
     spans = cells.groupBy("e").agg(F.min("d").alias("first"), F.max("d").alias("last"))
     blocks = max(1, -(-int(cells.agg(F.approx_count_distinct("e")).first()[0]) // block_entities))

@@ -60,3 +60,9 @@ def test_no_value_gives_no_mean(frame):
 
 def test_empty(frame):
     assert trailing_totals(frame([], SCHEMA), "agent", "at", "cost").count() == 0
+
+
+def test_columns_of_any_name(frame):
+    rows = [(datetime(2026, 1, 1), "a", 2), (datetime(2026, 1, 2), "a", None)]
+    got = trailing_totals(frame(rows, "n timestamp_ntz, d string, e long"), "d", "n", "e", windows=(2,)).orderBy("day").collect()
+    assert [(r.entity, r.n_day, r.total_2, r.n_2) for r in got] == [("a", 1, 2, 1), ("a", 1, 2, 1)]
