@@ -1,11 +1,14 @@
 """Filling fixed-capacity containers, by the configuration linear program over the length histogram.
 
 Items are (document, length). Lengths are rounded up to units of the capacity, so the program sees a
-histogram of at most UNITS classes however many items there are. A configuration says how many items
-of each class one container takes. Multiplicative weights solve the covering program: each round a
-knapsack dynamic program prices the best configuration under the classes' weights, the configuration
-is used until it has covered a fixed share of its scarcest class, and covered classes lose weight. The
-fractional solution is rounded down, what remains is solved again, and small items fill what is left.
+histogram of at most UNITS classes however many items there are, in at most CLASSES groups of
+neighbouring classes. A configuration says how many items of each group one container takes.
+Multiplicative weights find the configurations of the covering program: each round a knapsack dynamic
+program prices the best one under the groups' weights, and groups it holds lose weight. Pivots make the
+best mix of them a basic solution, and pricing that closes the gap to the program's lower bound to GAP.
+It is rounded down, and what remains is solved again in fewer, wider groups until it fills a few
+containers. Items under 1 / SMALL of the capacity and those last containers' go into the free room, and
+what does not fit there is packed largest first; ``Plan.program_share`` says what the program placed.
 
 The plan is a list of (configuration, containers): its size depends on the classes, not on the items.
 Items find their container without meeting each other: an item's rank within its class is a slot, and
@@ -27,12 +30,17 @@ from runloom.session import cut
 
 UNITS = 2048
 #: Classes under 1 / SMALL of the capacity stay out of the program and fill gaps.
-SMALL = 32
-#: Share of its scarcest class that a configuration covers in one round of the weights.
+SMALL = 128
+#: Groups of classes in the program at most, and those with fewer than which it is not worth solving.
+CLASSES = 1000
+LEAST = 8
+#: Step of the weights of the class that a round covers most, and rounds of the weights per class.
 STEP = 0.25
-ROUNDS = 80
-#: Times the program is solved, each time for what the rounding before left.
-SOLVES = 3
+ROUNDS = 3
+#: Configurations that pivots choose from before all are priced again.
+FEW = 30
+#: The program is solved until its containers are certified to be within this share of its lower bound.
+GAP = 0.002
 
 
 def price(weights: np.ndarray, classes: np.ndarray, units: int) -> np.ndarray:
@@ -70,22 +78,81 @@ def price(weights: np.ndarray, classes: np.ndarray, units: int) -> np.ndarray:
     return taken
 
 
-def solve(classes: np.ndarray, counts: np.ndarray, units: int) -> list[tuple[np.ndarray, float]]:
-    """Fractional (copies, containers) that cover the counts, by multiplicative weights."""
-    weights, cover = classes / units, np.zeros(len(classes))
-    used: dict[bytes, list] = {}
-    for _ in range(ROUNDS):
-        copies = price(weights, classes, units)
+class _Basis:
+    """A basic solution of the covering program over the configurations known so far, made better by pivots."""
+
+    def __init__(self, classes: np.ndarray, demand: np.ndarray, units: int):
+        # a configuration of its own for every class
+        self.demand, self.m = demand.astype(float), len(classes)
+        self.columns = np.diag(units // classes).astype(float)
+        self.cost = np.ones(self.m)
+        self.inverse = np.diag(1.0 / np.diag(self.columns))
+        self.amount = self.inverse @ self.demand
+        self.pivots = 0
+
+    def prices(self) -> np.ndarray:
+        return self.cost @ self.inverse
+
+    def improve(self, known: np.ndarray) -> None:
+        """Pivot until none of the ``known`` configurations, nor less of a class that is covered twice, saves a container."""
+        some = known[:0]
+        for _ in range(50 * self.m + 10 * len(known)):
+            y = self.prices()
+            if not len(some) or (some @ y).max() < 1 + 1e-7:  # all are priced again only when the best few are used up
+                saved = known @ y
+                some = known[np.argsort(saved)[-FEW:]]
+            saved = some @ y - 1
+            best, spare = int(saved.argmax()), int(y.argmin())
+            if max(saved[best], -y[spare]) < 1e-7:
+                return
+            column, cost = (some[best], 1.0) if saved[best] >= -y[spare] else (-np.eye(self.m)[spare], 0.0)
+            move = self.inverse @ column
+            ratio = np.divide(self.amount, move, out=np.full(self.m, np.inf), where=move > 1e-9)
+            out = int(ratio.argmin())
+            if ratio[out] == np.inf:
+                return
+            self.columns[:, out], self.cost[out] = column, cost
+            self.pivots += 1
+            if self.pivots % 100 == 0:
+                self.inverse = np.linalg.inv(self.columns)
+            else:
+                row = self.inverse[out] / move[out]
+                self.inverse -= np.outer(move, row)
+                self.inverse[out] = row
+            self.amount = np.maximum(self.inverse @ self.demand, 0.0)
+
+
+def solve(classes: np.ndarray, counts: np.ndarray, units: int) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Fractional (copies, containers) that cover the counts, and a lower bound of the containers.
+
+    Multiplicative weights find configurations; the best mix of those found is a basic solution, with
+    no more configurations than classes. Any weights bound the containers from below, so the gap of the
+    two is known; what the weights leave of it is closed by pricing the basic solution itself.
+    """
+    weights, known, bound = classes / units, {}, 0.0
+    basis = _Basis(classes, counts, units)
+
+    def priced(y: np.ndarray) -> np.ndarray:
+        nonlocal bound
+        copies = price(y, classes, units)
+        known.setdefault(copies.tobytes(), copies)
+        bound = max(bound, float(counts @ y) / float(copies @ y))
+        return copies
+
+    for _ in range(ROUNDS * len(classes)):
+        copies = priced(weights)
         hit = copies > 0
-        amount = STEP * float((counts[hit] / copies[hit]).min())
-        used.setdefault(copies.tobytes(), [copies, 0.0])[1] += amount
-        gained = copies * amount / counts
-        cover += gained
-        weights = weights * np.exp(-gained)
-        if cover.min() >= 1:
+        gained = copies / counts
+        weights = weights * np.exp(-STEP * gained / gained[hit].max())
+        weights /= weights.max()
+    while True:
+        before = len(known)
+        basis.improve(np.array(list(known.values()), float))
+        priced(np.maximum(basis.prices(), 1e-12))
+        if float(basis.cost @ basis.amount) <= bound * (1 + GAP) or len(known) == before:
             break
-    scale = max(1.0, float(np.average(cover, weights=classes * counts)))
-    return [(copies, amount / scale) for copies, amount in used.values()]
+    mix = [(basis.columns[:, i].round().astype(np.int64), float(basis.amount[i])) for i in np.flatnonzero(basis.cost)]
+    return mix, bound
 
 
 @dataclass
@@ -95,6 +162,10 @@ class Plan:
     capacity: int
     unit: int
     configurations: list[tuple[dict[int, int], int]] = field(default_factory=list)
+    #: Share of the size of the items (but those of the last, partial unit) that the program's configurations hold.
+    program_share: float = 0.0
+    #: Greatest certified gap of a solve: its containers over its lower bound, less 1.
+    gap: float = 0.0
 
     @property
     def containers(self) -> int:
@@ -125,17 +196,20 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
         plan.configurations.append(({units + 1: 1}, int(left[units + 1])))
     left = left[: units + 1]
     found: list[tuple[dict[int, int], int]] = []
-    for _ in range(SOLVES):
-        large = np.flatnonzero(left)
-        large = large[large * SMALL >= units]
-        if not len(large):
+    whole = int(left @ np.arange(units + 1))
+    # a basic solution rounded down loses less than a container per group; what is lost is solved again in wider groups
+    while True:
+        groups = _grouped(left, units)
+        if len(groups) < LEAST:
+            break
+        mix, bound = solve(np.array([g[-1] for g in groups]), np.array([left[g].sum() for g in groups]), units)
+        plan.gap = max(plan.gap, sum(amount for _, amount in mix) / bound - 1)
+        before = len(found)
+        for copies, amount in sorted(mix, key=lambda x: -x[1]):
+            _use(found, left, groups, copies, int(amount + 1e-6))
+        if len(found) == before:
             break
-        for copies, amount in sorted(solve(large, left[large], units), key=lambda x: -x[1]):
-            hit = copies > 0
-            n = min(int(amount), int((left[large[hit]] // copies[hit]).min()))
-            if n:
-                left[large[hit]] -= copies[hit] * n
-                found.append((dict(zip(large[hit].tolist(), copies[hit].tolist())), n))
+    plan.program_share = 1 - int(left @ np.arange(units + 1)) / whole if whole else 0.0
     _fill(found, left, units)
     while left.any():  # largest first; each configuration uses up one of its classes, save less than one copy set
         copies, room = {}, units
@@ -156,6 +230,48 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
+def _grouped(left: np.ndarray, units: int) -> list[np.ndarray]:
+    """Ascending classes of the program in groups of about equal size, one and a half containers or more each; a group counts as its largest class."""
+    large = np.flatnonzero(left)
+    large = large[large * SMALL >= units]
+    passed = np.cumsum(large * left[large])
+    most = min(CLASSES, int(passed[-1]) * 2 // (3 * units)) if len(large) else 0
+    if len(large) <= most:
+        return [large[i : i + 1] for i in range(len(large))]
+    group = (passed - 1) * most // passed[-1] if most else passed[:0]
+    return np.split(large, np.flatnonzero(np.diff(group)) + 1) if most else []
+
+
+def _use(found: list[tuple[dict[int, int], int]], left: np.ndarray, groups: list[np.ndarray], copies: np.ndarray, n: int) -> None:
+    """Use a configuration of groups ``n`` times, the largest items of each group first; where items run out, with fewer copies.
+
+    Copies take their items by ranges, so the configurations of classes that this gives are as many as
+    ranges of classes end, however large ``n`` is.
+    """
+    stock = np.array([left[g].sum() for g in groups])
+    while n and (copies := np.minimum(copies, stock)).any():
+        hit = np.flatnonzero(copies)
+        some = min(n, int((stock[hit] // copies[hit]).min()))
+        ranges, edges = [], {0, some}
+        for g in hit.tolist():
+            classes = groups[g][::-1]
+            ends = np.cumsum(left[classes])
+            for at in range(0, int(copies[g]) * some, some):
+                ranges.append((classes, ends, at))
+                edges.update((ends[(ends > at) & (ends < at + some)] - at).tolist())
+        steps = sorted(edges)
+        for low, high in zip(steps, steps[1:]):
+            taken: dict[int, int] = {}
+            for classes, ends, at in ranges:
+                k = int(classes[np.searchsorted(ends, at + low, "right")])
+                taken[k] = taken.get(k, 0) + 1
+            found.append((taken, high - low))
+            for k, c in taken.items():
+                left[k] -= c * (high - low)
+        stock[hit] -= copies[hit] * some
+        n -= some
+
+
 def _fill(found: list[tuple[dict[int, int], int]], left: np.ndarray, units: int) -> None:
     """Put remaining items into the free room of the configurations, splitting one where items run out."""
     queue, found[:] = list(found), []

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from runloom.llm.packing import UNITS, pack, plan_containers, price
+from runloom.llm.packing import GAP, UNITS, pack, plan_containers, price, solve
 
 SCHEMA = "id long, tokens long, item string, k long, rank long, size long"
 
@@ -48,6 +48,19 @@ def test_plans_leave_little_space():
         assert lengths.sum() / (plan.containers * capacity) > 0.985
 
 
+def test_the_program_converges_and_places_nearly_everything():
+    rng = np.random.default_rng(2)
+    classes = np.arange(64, 1100, 7)
+    counts = rng.integers(1, 60, len(classes))
+    mix, bound = solve(classes, counts, UNITS)
+    cover = sum(copies * amount for copies, amount in mix)
+    assert (cover >= counts * (1 - 1e-6)).all() and all((copies * classes).sum() <= UNITS for copies, _ in mix)
+    assert (classes * counts).sum() / UNITS <= bound * (1 + 1e-9) and sum(amount for _, amount in mix) <= bound * (1 + GAP)
+    lengths = np.minimum(np.exp(rng.normal(6.0, 0.8, 8_000)).astype(int) + 1, 4096)
+    plan = plan_containers(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))), 4096)
+    assert plan.program_share > 0.9 and plan.gap <= GAP
+
+
 def check(got, rows, capacity):
     tokens = {r[0]: r[1] or 0 for r in rows}
     filled, pieces = defaultdict(int), defaultdict(list)
