@@ -45,6 +45,8 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 #: Letters that broken encodings of Western text are full of.
 BROKEN = np.array([ord(c) for c in "ÃÂâïÐ�"], np.uint32)
+#: Ranges of the letters and digits of scripts that are written without blanks.
+WIDE_LETTERS = ((0x3005, 0x3007), (0x3040, 0xD7FF), (0xF900, 0xFAFF), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFFDC), (0x20000, 0x3FFFF))
 STATISTICS = {
     "n_words": "long",
     "mean_word_length": "double",
@@ -76,7 +78,7 @@ def word_hash(word: str) -> int:
 class Lines:
     """The measured lines of a block of texts."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], wide_words: list[str] | None = None):
         # a line end is put behind every text, so no line spans two texts
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -92,6 +94,7 @@ class Lines:
         self.solid = np.flatnonzero(~blank)
         self._trim()
         self._count(blank)
+        self._segment(wide_words or [])
         self._words(blank)
 
     def _next(self, at: np.ndarray) -> np.ndarray:
@@ -147,6 +150,48 @@ class Lines:
         gap = blank & np.r_[blank[1:], False] & ~np.r_[False, blank[:-1]]
         self.gaps = self._sum(gap & (points != 10))
 
+    def _segment(self, words: list[str]) -> None:
+        """Words of text without blanks: the longest known word at each place, and the stretches between known words.
+
+        ``wide_start`` are the words' places, ``wide_word`` their index in ``words`` (-1: not known);
+        ``break_at`` also holds where other characters follow such text.
+        """
+        points = self.points
+        self.wide_start = self.break_at = self.wide_word = np.zeros(0, np.int64)
+        letter = np.zeros(len(points), bool)
+        far = np.flatnonzero(points >= 0x3000)
+        for low, high in WIDE_LETTERS:
+            letter[far[(points[far] >= low) & (points[far] <= high)]] = True
+        if not len(far):
+            return
+        at = np.flatnonzero(letter)
+        best, size = np.full(len(at), -1), np.zeros(len(at), np.int64)
+        padded = np.r_[points, np.zeros(max(map(len, words), default=0), np.uint32)]
+        for i in sorted(range(len(words)), key=lambda i: len(words[i])):  # longer ones overwrite
+            hit = np.logical_and.reduce([padded[at + j] == ord(c) for j, c in enumerate(words[i])])
+            best[hit], size[hit] = i, len(words[i])
+        known, free = [], 0
+        found = np.flatnonzero(best >= 0)
+        for where, place, length in zip(found.tolist(), at[found].tolist(), size[found].tolist()):
+            if place >= free:
+                known.append(where)
+                free = place + length
+        known = np.array(known, np.int64)
+        name = np.full(len(points) + 1, -1)
+        name[at[known]] = best[known]
+        inside, fresh = np.zeros(len(points) + 1, np.int64), np.zeros(len(points) + 1, bool)
+        np.add.at(inside, at[known], 1)
+        np.add.at(inside, at[known] + size[known], -1)
+        fresh[at[known]] = fresh[at[known] + size[known]] = True
+        inside, fresh = np.cumsum(inside[:-1]) > 0, fresh[:-1]
+        fresh |= ~np.r_[False, letter[:-1]] & ~inside
+        self.wide_start = np.flatnonzero(fresh & letter)
+        self.wide_word = name[self.wide_start]
+        # such letters and their punctuation end a word
+        ends = letter | ((points >= 0x3000) & (points <= 0x303F)) | ((points >= 0xFF00) & (points <= 0xFFEF))
+        other = ((self.kind == LETTER) | (self.kind == DIGIT)) & np.r_[False, ends[:-1]]
+        self.break_at = np.flatnonzero((fresh & letter) | other)
+
     def _words(self, blank: np.ndarray) -> None:
         """Longest unbroken word per line; letter runs with their hashes and lines."""
         edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
@@ -154,6 +199,10 @@ class Lines:
         line = np.searchsorted(self.start, begin, "right") - 1
         self.longest = np.zeros(len(self.start), np.int64)
         np.maximum.at(self.longest, line, stop - np.maximum(begin, self.first[line]))
+        if len(self.break_at):  # text without blanks has more words than unbroken stretches
+            begin = np.union1d(begin, self.break_at)
+            stop = np.minimum(stop[np.searchsorted(stop, begin, "right")], np.r_[begin[1:], len(self.points)])
+            line = np.searchsorted(self.start, begin, "right") - 1
         self.token_doc, self.token_size = self.doc[line], stop - begin
         letter = self.kind == LETTER
         at = np.flatnonzero(letter)
@@ -241,9 +290,11 @@ class Lines:
         return label
 
 
-def measure(texts: list[str], common: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """STATISTICS of each text; ``common`` holds the word hashes of each language."""
-    lines = Lines(texts)
+def measure(texts: list[str], common: dict[str, np.ndarray], wide: dict[str, list[str]] | None = None) -> dict[str, np.ndarray]:
+    """STATISTICS of each text; ``common`` holds the word hashes of each language, ``wide`` the words written without blanks."""
+    wide = wide or {}
+    wide_words = sorted({w for known in wide.values() for w in known})
+    lines = Lines(texts, wide_words)
     label, n = lines.labels(), len(texts)
     chars = np.array([len(t) for t in texts], float)
     by_doc = lambda weight, mask=None: np.bincount(lines.doc if mask is None else lines.doc[mask], weight if mask is None else weight[mask], minlength=n)
@@ -257,8 +308,13 @@ def measure(texts: list[str], common: dict[str, np.ndarray]) -> dict[str, np.nda
     out["symbol_ratio"] = ratio(by_doc((of[SYMBOL] + of[OPEN] + of[PIPE] + of[ODD]).astype(float)), chars)
     out["punctuated_lines"] = ratio(by_doc(np.isin(lines.tail, [ord(c) for c in ".!?:;。！？"]).astype(float) * filled), by_doc(filled))
     run_doc = lines.doc[lines.run_line] if len(lines.run_line) else np.zeros(0, int)
-    runs = np.bincount(run_doc, minlength=n)
-    hits = [np.bincount(run_doc[np.isin(lines.run_hash, known)], minlength=n) for known in common.values()]
+    wide_doc = lines.doc[np.searchsorted(lines.start, lines.wide_start, "right") - 1]
+    runs = np.bincount(run_doc, minlength=n) + np.bincount(wide_doc, minlength=n)
+    hits = []
+    for lang in dict.fromkeys([*common, *wide]):
+        is_known = np.isin(lines.run_hash, common.get(lang, ()))
+        is_wide = np.isin(lines.wide_word, [i for i, w in enumerate(wide_words) if w in wide.get(lang, ())])
+        hits.append(np.bincount(run_doc[is_known], minlength=n) + np.bincount(wide_doc[is_wide], minlength=n))
     out["common_words"] = ratio(np.max(hits, axis=0).astype(float), runs) if hits else np.zeros(n)
     delimiters = of[COMMA] + of[TAB] + of[PIPE] + lines.gaps
     out["delimiter_alignment"] = ratio(by_doc(lines.aligned(delimiters).astype(float)), by_doc(filled))
@@ -279,11 +335,15 @@ def measure(texts: list[str], common: dict[str, np.ndarray]) -> dict[str, np.nda
 def text_statistics(df: DataFrame, item: str, text: str, common: dict[str, list[str]]) -> DataFrame:
     """``item`` and the STATISTICS of its whole text. ``common``: frequent words by language, a fixed small list.
 
-    Null and empty texts have 0 everywhere. ``common_words`` is the highest share of letter runs among
-    the words of one language. Shares of lists, tables and junk are shares of the text's characters.
+    Null and empty texts have 0 everywhere. ``common_words`` is the highest share of words, being letter
+    runs, among the words of one language. Text without blanks (Chinese, Japanese) is cut into words at
+    the longest common words; a stretch between two of them is taken as one word, in the counts and
+    lengths of words too. Shares of lists, tables and junk are shares of the text's characters.
     Repeated rows give repeated results; extra columns are ignored; an empty table gives no rows.
     """
-    hashes = {lang: np.array(sorted({word_hash(w.lower()) for w in words}), np.uint64) for lang, words in common.items()}
+    is_wide = lambda w: any(low <= ord(c) <= high for c in w for low, high in WIDE_LETTERS)
+    hashes = {lang: np.array(sorted({word_hash(w.lower()) for w in words if not is_wide(w)}), np.uint64) for lang, words in common.items()}
+    wide = {lang: sorted({w for w in words if is_wide(w)}) for lang, words in common.items()}
     schema = T.StructType([T.StructField("item", df.schema[item].dataType)] + [T.StructField(k, T.LongType() if v == "long" else T.DoubleType()) for k, v in STATISTICS.items()])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,6 +352,6 @@ def text_statistics(df: DataFrame, item: str, text: str, common: dict[str, list[
             block = np.cumsum([len(t) for t in texts]) // BLOCK if texts else np.zeros(0, int)
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
                 if len(part):
-                    yield pd.DataFrame({"item": frame["item"].iloc[part].to_numpy(), **measure([texts[i] for i in part], hashes)})
+                    yield pd.DataFrame({"item": frame["item"].iloc[part].to_numpy(), **measure([texts[i] for i in part], hashes, wide)})
 
     return df.select(F.col(item).alias("item"), F.col(text).alias("text")).mapInPandas(run, schema).withColumnRenamed("item", item)

@@ -56,6 +56,18 @@ def test_statistics():
     assert got["symbol_ratio"][1] == 0
 
 
+def test_words_of_text_without_blanks(frame):
+    zh = ["我们", "的", "我", "数据"]
+    rows = [(1, "我们的数据很好，x"), (2, "我用numpy 的"), (3, "The cat of 日本"), (4, "好")]
+    got = {r.id: r for r in text_statistics(frame(rows, "id long, body string"), "id", "body", COMMON | {"zh": zh}).collect()}
+    # 我们 的 数据 很好 x; 我 用 numpy 的
+    assert [got[i].n_words for i in (1, 2, 3, 4)] == [5, 4, 4, 1]
+    assert [got[i].common_words for i in (1, 2, 3, 4)] == [pytest.approx(3 / 5), pytest.approx(2 / 4), pytest.approx(2 / 4), 0.0]
+    assert got[1].mean_word_length == pytest.approx(9 / 5)
+    alone, beside = measure(["a😀b，c"], HASHES), measure(["a😀b，c", "好"], HASHES)
+    assert alone["n_words"][0] == beside["n_words"][0] == 2
+
+
 def test_texts_do_not_touch_each_other():
     texts = [t for t, _ in KINDS.values()] + ["", "\n", "\n\n  \n", " ", "#", '"', '",', "|", "x" * 300_000, "a\tb", "\ud800", "\x00"]
     together = measure(texts, HASHES)
