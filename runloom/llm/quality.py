@@ -45,6 +45,9 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 #: Letters that broken encodings of Western text are full of.
 BROKEN = np.array([ord(c) for c in "ÃÂâïÐ�"], np.uint32)
+#: Characters of a short line of text without blanks at most, and the punctuation that it has not.
+WIDE_SHORT = 16
+WIDE_STOPS = np.array([ord(c) for c in "，。！？；："], np.uint32)
 #: Ranges of the letters and digits of scripts that are written without blanks.
 WIDE_LETTERS = ((0x3005, 0x3007), (0x3040, 0xD7FF), (0xF900, 0xFAFF), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFFDC), (0x20000, 0x3FFFF))
 STATISTICS = {
@@ -143,6 +146,7 @@ class Lines:
         self.of = {k: self._sum(kind == k) for k in (LETTER, DIGIT, COMMA, TAB, PIPE, COLON, OPEN, SYMBOL, STOP, WIDE, ODD)}
         self.broken = self._sum(np.isin(points, BROKEN) & (points > 127)) if (points > 127).any() else np.zeros(len(self.start), int)
         self.equals = self._sum(points == ord("="))
+        self.stops = self._sum(np.isin(points, WIDE_STOPS))
         self.percent = self._sum(points == ord("%"))
         self.escaped_tabs = self._sum((points == ord("\\")) & (np.r_[points[1:], 0] == ord("t")))
         begins = ~blank & np.r_[True, blank[:-1]]
@@ -261,10 +265,15 @@ class Lines:
         two = digit_head & is_(head[1], ".)") & (head[2] == 32)
         three = digit_head & (head[1] >= 48) & (head[1] <= 57) & is_(head[2], ".)")
         four = digit_head & (head[1] >= 48) & (head[1] <= 57) & (head[2] >= 48) & (head[2] <= 57) & is_(head[3], ".)") & (self.words >= 2)
+        # numbers before text without blanks need none behind them
+        after = np.where(is_(head[1], ".)、．）"), head[2], np.where((head[1] >= 48) & (head[1] <= 57) & is_(head[2], ".)、．）"), head[3], 0))
+        unspaced = digit_head & (after >= 0x3000)
         # code has operators; a minus or star before a word at the margin has not
-        marked = (bullet | two | three | four) & (self.equals == 0) & (letters > 0)
+        marked = (bullet | two | three | four | unspaced) & (self.equals == 0) & (letters + of[WIDE] > 0)
         short = (self.words <= 5) & (letters + of[WIDE] > 0) & ((letters + of[WIDE]) * 10 > n * 7) & ~is_(self.tail, ".!?,;{[(") & (of[OPEN] == 0) & (self.equals == 0) & ~is_(head[0], "#`%!<@")
-        run = self._in_run(short & some & ~junk & ~table & ~wide, 4)
+        # a line of text without blanks is short by its length, and has no punctuation of a sentence
+        short &= ~wide | ((self.size <= WIDE_SHORT) & (self.stops == 0))
+        run = self._in_run(short & some & ~junk & ~table, 4)
         listed = some & ~junk & ~table & (marked | run)
 
         label = np.zeros(len(n), np.int8)

@@ -68,6 +68,16 @@ def test_words_of_text_without_blanks(frame):
     assert alone["n_words"][0] == beside["n_words"][0] == 2
 
 
+@pytest.mark.parametrize("text", ["* 窗口\n* 读数的平均\n- 样本\n", "1. 窗口\n2. 读数的平均\n12. 样本\n", "1、窗口\n2．读数\n10、样本\n", "窗口大小\n读数的平均\n样本\n数据来源\n"])
+def test_lists_of_text_without_blanks(text):
+    assert measure([text * 5], HASHES)["list_share"][0] > 0.8
+
+
+def test_wrapped_prose_of_text_without_blanks_is_no_list():
+    text = "图表显示，这条曲线随着时间\n上升。我们先比较样本和每\n个月的数据，然后再看其他\n的结果；没有其他的变化。\n" * 5
+    assert measure([text], HASHES)["list_share"][0] == 0
+
+
 def test_texts_do_not_touch_each_other():
     texts = [t for t, _ in KINDS.values()] + ["", "\n", "\n\n  \n", " ", "#", '"', '",', "|", "x" * 300_000, "a\tb", "\ud800", "\x00"]
     together = measure(texts, HASHES)
