@@ -2,12 +2,12 @@
 
 Texts are laid end to end as code points and all lines of a block are measured at once: counts of
 character classes per line, words, their lengths and hashes. Tables are found by delimiters whose
-number agrees with a neighbouring line (vertical alignment), lists by markers and by runs of short
+number agrees with a neighbouring line or along a run of lines (vertical alignment), lists by markers and by runs of short
 lines of one indentation, junk by long unbroken words, symbol and digit ratios, repeated words and
 unusual characters. Prefixes of the export format (comment marks, output marks, JSON quotes) are
 skipped first. A document's statistics also hold the alignment, the periodicity of its indentation and
-the autocorrelation of its line lengths. No line looks further than its neighbours, so blocks of
-documents are independent and nothing is shuffled.
+the autocorrelation of its line lengths; the last two decide nothing. Lines are compared with neighbours of
+their own text only, so blocks of documents are independent and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _classes() -> np.ndarray:
 
 CLASS = _classes()
 #: Letters that broken encodings of Western text are full of.
-BROKEN = np.array([ord(c) for c in "ÃÂâïÐ�"], np.uint32)
+BROKEN = np.array([ord(c) for c in "ÃÂâïÐ"], np.uint32)
 #: Characters of a short line of text without blanks at most, and the punctuation that it has not.
 WIDE_SHORT = 16
 WIDE_STOPS = np.array([ord(c) for c in "，。！？；："], np.uint32)
@@ -85,7 +85,7 @@ class Lines:
         # a line end is put behind every text, so no line spans two texts
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = np.where(points < 0x3000, CLASS[np.minimum(points, 0x2FFF)], WIDE).astype(np.uint8)
+        kind = np.where(points < 0x3000, CLASS[np.minimum(points, 0x2FFF)], np.where(points == 0xFFFD, ODD, WIDE)).astype(np.uint8)
         self.points, self.kind = points, kind
         ends = np.flatnonzero(points == 10)
         starts = np.r_[0, ends[:-1] + 1]
@@ -146,6 +146,9 @@ class Lines:
         self.of = {k: self._sum(kind == k) for k in (LETTER, DIGIT, COMMA, TAB, PIPE, COLON, OPEN, SYMBOL, STOP, WIDE, ODD)}
         self.broken = self._sum(np.isin(points, BROKEN) & (points > 127)) if (points > 127).any() else np.zeros(len(self.start), int)
         self.equals = self._sum(points == ord("="))
+        self.semicolons = self._sum(points == ord(";"))
+        # delimiters of values, which no blank follows as it does in sentences and code
+        self.tight = {c: self._sum((points == ord(c)) & ~np.r_[blank[1:], True]) for c in ",;"}
         self.stops = self._sum(np.isin(points, WIDE_STOPS))
         self.percent = self._sum(points == ord("%"))
         self.escaped_tabs = self._sum((points == ord("\\")) & (np.r_[points[1:], 0] == ord("t")))
@@ -238,10 +241,15 @@ class Lines:
         wide = of[WIDE] * 3 > n
         digit_head = (head[0] >= 48) & (head[0] <= 57)
 
+        # text in the cells: as many delimiters on every line of a run, no blank behind any, no brackets of code
+        even = np.zeros(len(n), bool)
+        for count, tight in ((commas, self.tight[","]), (self.semicolons, self.tight[";"])):
+            even |= self._even(count, some & (count >= 2) & (tight >= count - is_(self.tail, ",;")) & (of[OPEN] == 0) & (self.equals == 0), 3)
+
         # junk
         unbroken = (self.longest >= 50) & ~wide
         hexadecimal = (self.words >= 8) & (n <= self.words * 3.6) & (digits * 4 > n) & (commas == 0) & (of[STOP] == 0) & (letters * 2 < n)
-        log = (of[COLON] >= 2) & (digits * 6 > n) & (is_(head[0], "[") | digit_head) & (commas < 3) & (self.words >= 3)
+        log = (of[COLON] >= 2) & (digits * 6 > n) & (is_(head[0], "[") | digit_head) & (commas < 3) & (self.words >= 3) & ~even
         progress = (of[PIPE] >= 2) & (self.percent > 0) & (of[COLON] > 0) & (head[0] != ord("|"))
         marks = of[SYMBOL] + of[STOP] + of[PIPE] + of[COLON] + commas
         symbols = (self.size >= 8) & (marks * 10 > n * 7) & ((letters + digits) * 5 < n) & ~((head[0] == ord("|")) & (of[PIPE] >= 3))
@@ -257,7 +265,7 @@ class Lines:
         markup = (head[0] == ord("<")) & ((head[1] == ord("t")) | ((head[1] == ord("/")) & (head[2] == ord("t"))))
         spaced = (self.gaps >= 2) & (self.aligned(self.words) | self.aligned(self.gaps)) & (self.equals == 0)
         numbers = (self.words >= 2) & (digits * 2 > n) & self.aligned(self.words) & (self.equals == 0)
-        table = some & ~junk & (csv | array | (tabs >= 1) & (self.equals == 0) & (of[OPEN] == 0) | piped | markup | spaced | numbers)
+        table = some & ~junk & (csv | even | array | (tabs >= 1) & (self.equals == 0) & (of[OPEN] == 0) | piped | markup | spaced | numbers)
 
         # lists: markers, or runs of short lines of one indentation without the end of a sentence
         spaced_mark = (head[1] == 32) | (head[1] == 9)
@@ -286,6 +294,12 @@ class Lines:
         run = np.cumsum(fresh) - 1
         return mask & (np.bincount(run, minlength=run[-1] + 1 if len(run) else 0)[run] >= least)
 
+    def _even(self, count: np.ndarray, mask: np.ndarray, least: int) -> np.ndarray:
+        """Members of runs of at least ``least`` lines of one text with the same ``count``."""
+        fresh = np.r_[True, ~(mask[1:] & mask[:-1] & (self.doc[1:] == self.doc[:-1]) & (count[1:] == count[:-1]))]
+        run = np.cumsum(fresh) - 1
+        return mask & (np.bincount(run)[run] >= least)
+
     def _closed(self, label: np.ndarray) -> np.ndarray:
         """A short plain line between two junk lines, or behind one in the same indentation, belongs to them."""
         before, after = np.r_[0, label[:-1]], np.r_[label[1:], 0]
@@ -325,7 +339,7 @@ def measure(texts: list[str], common: dict[str, np.ndarray], wide: dict[str, lis
         is_wide = np.isin(lines.wide_word, [i for i, w in enumerate(wide_words) if w in wide.get(lang, ())])
         hits.append(np.bincount(run_doc[is_known], minlength=n) + np.bincount(wide_doc[is_wide], minlength=n))
     out["common_words"] = ratio(np.max(hits, axis=0).astype(float), runs) if hits else np.zeros(n)
-    delimiters = of[COMMA] + of[TAB] + of[PIPE] + lines.gaps
+    delimiters = of[COMMA] + lines.semicolons + of[TAB] + of[PIPE] + lines.gaps
     out["delimiter_alignment"] = ratio(by_doc(lines.aligned(delimiters).astype(float)), by_doc(filled))
     near = np.r_[False, lines.doc[1:] == lines.doc[:-1]] & (filled > 0) & np.r_[False, filled[:-1] > 0]
     # an indentation that comes back after one or two lines

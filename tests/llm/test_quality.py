@@ -78,6 +78,24 @@ def test_wrapped_prose_of_text_without_blanks_is_no_list():
     assert measure([text], HASHES)["list_share"][0] == 0
 
 
+ROWS = [("17", "2024-03-02", "pump restarted after the night shift"), ("18", "2024-03-05", "the valve of the second tank was replaced"), ("19", "2024-04-01", "nothing to report from the harbour")]
+
+
+@pytest.mark.parametrize("delimiter", [",", ";"])
+def test_tables_of_text(delimiter):
+    text = "\n".join(delimiter.join(r) for r in ROWS * 4) + "\n"
+    assert measure([text], HASHES)["table_share"][0] > 0.8 and measure([text], HASHES)["delimiter_alignment"][0] == 1.0
+
+
+def test_sentences_and_code_with_as_many_delimiters_are_no_tables():
+    for text in ("The pump, the valve, and the tank were old.\nThe harbour, the boats, and the lamp were new.\n" * 6, "int a; int b; int c;\nx++; y++; z++;\n" * 6, "from a import b, c, d\nfrom e import f, g, h\n" * 6):
+        assert measure([text], HASHES)["table_share"][0] == 0
+
+
+def test_replacement_characters_are_junk():
+    assert measure(["\ufffd\ufffd\ufffd \ufffd\ufffd\n" * 10], HASHES)["junk_share"][0] > 0.8
+
+
 def test_texts_do_not_touch_each_other():
     texts = [t for t, _ in KINDS.values()] + ["", "\n", "\n\n  \n", " ", "#", '"', '",', "|", "x" * 300_000, "a\tb", "\ud800", "\x00"]
     together = measure(texts, HASHES)
