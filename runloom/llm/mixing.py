@@ -40,6 +40,15 @@ def apportion(weights: list[float], seats: int, caps: list[int] | None = None) -
     return given
 
 
+def at_cap(turns: list[int], caps: list[int]) -> list[bool]:
+    """Which sources run into their cap, in whole blocks, within the seats that come to them.
+
+    Seats lie within half a block and half the number of sources of the exact share, so with that margin
+    no source that is short is left out.
+    """
+    return [cap <= turn + 1 + len(caps) / 2 for turn, cap in zip(turns, caps)]
+
+
 def clean_source(column: Column) -> Column:
     """Source names compare without regard to letter case and surrounding blanks."""
     return F.lower(F.btrim(column, F.lit(" \t\r\n")))
@@ -73,10 +82,12 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
     quotas, report = [], []
     for mix_id in dict.fromkeys(m for m, *_ in targets):
         own = [t for t in targets if t[0] == mix_id]
-        given = apportion([t[2] for t in own], round(blocks * sum(t[2] for t in own)))
-        for (_, name, share, repeats), seats in zip(own, given):
+        turns = apportion([t[2] for t in own], round(blocks * sum(t[2] for t in own)))
+        # seats that come to a source at its cap stay empty; whether it is short by part of a block, the sums say
+        reached = at_cap(turns, [held.get(name, 0) * repeats // size for _, name, _, repeats in own])
+        for (_, name, share, repeats), seats, full in zip(own, turns, reached):
             available, wanted = held.get(name, 0), share * total
-            short = available * repeats < wanted
+            short = full and available * repeats < wanted
             report.append((mix_id, name, float(share), int(repeats), int(available), float(wanted), short))
             if not available:
                 continue

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from runloom.llm.mixing import apportion, mix
+from runloom.llm import mixing
+from runloom.llm.mixing import apportion, at_cap, mix
 
 SCHEMA = "id long, src string, tokens long, source string, item string, shard long, uses long"
 
@@ -70,3 +71,21 @@ def test_empty(frame):
     uses, shares = mix(frame([], SCHEMA), "id", "src", "tokens", TARGETS)
     assert uses.count() == 0 and [r.is_short for r in shares.collect()] == [False] * len(TARGETS)
     assert mix(frame(rows(), SCHEMA), "id", "src", "tokens", TARGETS[:1])[1].count() == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.floats(0.0001, 1), min_size=1, max_size=30), st.integers(1, 3000))
+def test_every_short_source_runs_into_its_cap(weights, blocks):
+    shares = [w / sum(weights) for w in weights]
+    caps = [int(s * blocks * (1 - 1e-6)) for s in shares]  # just short
+    assert all(at_cap(apportion(shares, blocks), caps))
+    assert at_cap([4000, 6000], [4100, 5900]) == [False, True]
+
+
+def test_the_apportionment_finds_the_short_sources(frame, monkeypatch):
+    data = frame([(i, "a" if i < 10 else "b", 100, "", "", 0, 0) for i in range(100)], SCHEMA)
+    targets = [("m", "a", 0.5, 1), ("m", "b", 0.5, 1)]
+    short = lambda: {r.source: r.is_short for r in mix(data, "id", "src", "tokens", targets)[1].collect()}
+    assert short() == {"a": True, "b": False}
+    monkeypatch.setattr(mixing, "at_cap", lambda turns, caps: [False for _ in caps])
+    assert short() == {"a": False, "b": False}
