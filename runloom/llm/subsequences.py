@@ -169,6 +169,8 @@ def frequent_patterns(steps: DataFrame, sequence: str, order: list[str], item: s
     spark = steps.sparkSession
     min_support = max(1, min_support)
     supports = {r["item"]: r["support"] for r in item_supports(steps, sequence, item).where(F.col("support") >= min_support).limit(max_patterns + 1).collect()}
+    if len(supports) > max_patterns:
+        raise ValueError(f"more than {max_patterns} frequent patterns; raise the support")
     items = sorted(supports)
     rows = [([name], supports[name]) for name in items]
     k = len(items)

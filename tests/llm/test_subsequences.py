@@ -95,3 +95,10 @@ def test_empty_and_small_blocks(frame, monkeypatch):
         for p in {x for x in contained(w.tolist(), 3) if len(x) == 3}:
             want[p] = want.get(p, 0) + 1
     assert got == want
+
+
+def test_too_many_frequent_items_raise(frame):
+    steps = frame([("s", i, f"item {i}") for i in range(4)], "run string, step long, name string")
+    with pytest.raises(ValueError, match="more than 3 frequent"):
+        frequent_patterns(steps, "run", ["step"], "name", 1, 1, max_patterns=3)
+    assert frequent_patterns(steps, "run", ["step"], "name", 1, 1, max_patterns=4).count() == 4
