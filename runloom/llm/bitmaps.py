@@ -1,7 +1,7 @@
 """Distinct counts by linear counting on fixed bitmaps.
 
 An identifier sets one hashed bit of a bitmap of ``bits`` positions. Bitmaps are kept as rows of
-64-bit words - ``(keys..., kind, word, bits)``, words without a set bit left out - so that the set is a
+64-bit words - ``(keys..., kind, word, bits)``, words without a set bit left out but for one of a group with nulls - so that the set is a
 bitwise-or aggregate: it combines map-side, spreads a hot group over its words, costs a small group only
 what it holds, and merges over days and groups by the same aggregate. The estimate follows from the
 share of empty bits: n = -m ln(empty / m).
@@ -48,15 +48,15 @@ def _checked(keys: list[str]) -> None:
 def sketch(df: DataFrame, keys: list[str], ids: list[str], bits: int) -> DataFrame:
     """Mergeable partial result: ``(keys..., kind, word, bits)``, ``kind`` being the index in ``ids``.
 
-    Null identifiers set no bit; a null key is a group of its own; repeated rows change nothing; an
+    Null identifiers set no bit, but their group has a row; a null key is a group of its own; repeated rows change nothing; an
     empty table gives no rows.
     """
     _checked(keys)
     marks = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("kind"), position(F.col(c), bits).alias("pos")) for i, c in enumerate(ids)])
     return (
         df.select(*[F.col(k) for k in keys], F.explode(marks).alias("mark"))
-        .where("mark.pos is not null")
-        .select(*keys, "mark.kind", F.shiftright("mark.pos", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(mark.pos & 63 as int))").alias("bits"))
+        # an empty word stands for a null, so that a group of nulls only is a group
+        .select(*keys, "mark.kind", F.coalesce(F.shiftright("mark.pos", 6).cast("int"), F.lit(0)).alias("word"), F.coalesce(F.expr("shiftleft(1L, cast(mark.pos & 63 as int))"), F.lit(0).cast("long")).alias("bits"))
         .groupBy(*keys, "kind", "word")
         .agg(F.bit_or("bits").alias("bits"))
     )

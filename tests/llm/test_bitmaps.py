@@ -81,3 +81,11 @@ def test_nulls_empty_and_full(frame):
 def test_keys_that_clash(frame):
     with pytest.raises(ValueError):
         bitmaps.sketch(frame(rows(10), SCHEMA), ["Kind"], ["u"], 64)
+
+
+def test_a_group_of_nulls_has_a_row(frame):
+    rows = frame([("d", "a", None), ("d", "a", None), ("d", "b", "x"), ("d", "b", None)], "day string, g string, u string")
+    words = bitmaps.sketch(rows, ["day", "g"], ["u"], 64)
+    got = {(r.g, r.level): (r.users, r.users_error) for r in bitmaps.estimate(bitmaps.cube(words, ["day"], ["g"]), ["day", "g", "level"], ["users"], 64).collect()}
+    assert set(got) == {("a", 0), ("b", 0), (None, 1)}
+    assert got["a", 0] == (0, 0.0) and got["b", 0][0] == got[None, 1][0] == 1
