@@ -2,16 +2,19 @@
 
 The mix has the size of the whole corpus and is divided into ``blocks`` equal blocks of tokens. Blocks
 go to the sources by the highest quotient share / (2 a + 1), a being the blocks a source has; a source
-that runs into its cap of repeats keeps what it has. Within a source its blocks go to shards in the same
-way, in proportion to the shards' tokens. A shard uses all its documents as often as its quota holds
-them whole, and once more those in the first blocks of a seeded order. Shards hold a bounded number of
-documents, so a source with a third of all rows is many shards.
+that runs into its cap of repeats keeps what it has. Within a source the tokens of its blocks go to
+shards in the same way, in blocks of the shards' own, small against a shard however large the source's
+blocks are, and in proportion to the shards' tokens; what rounding and the shards' caps leave over goes
+to shards with room, so a source's quota is met to the token. A shard uses all its documents as often as
+its quota holds them whole, and once more those in the first blocks of a seeded order. Shards hold a
+bounded number of documents, so a source with a third of all rows is many shards.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,19 +22,25 @@ from pyspark.sql import functions as F
 from runloom.session import cut
 
 BLOCKS = 10_000
-#: Documents that a shard holds, about.
+#: Documents that a shard holds, about, and shards of a source at most: beyond their product shards grow.
 SHARD_ROWS = 100_000
+MOST_SHARDS = 20_000
+#: Blocks of its own that a shard's share is cut into, on average.
+SHARD_BLOCKS = 64
 
 
 def apportion(weights: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
     """Sainte-Laguë: ``seats`` by highest quotients weight / (2 a + 1), at most ``caps`` each.
 
     Ties go to the earlier one. Seats that no cap admits, or all if no weight is positive, stay empty.
+    The seats above a common quotient, found by bisection, are given at once; only the last ones, about
+    two for each weight, are given one by one.
     """
-    given = [0] * len(weights)
-    queue = [(-w, i) for i, w in enumerate(weights) if w > 0 and (caps is None or caps[i] > 0)]
+    given = _above_quotient(np.array(weights, float), seats, None if caps is None else np.array(caps, float))
+    seats -= sum(given)
+    queue = [(-w / (2 * a + 1), i) for i, (w, a) in enumerate(zip(weights, given)) if w > 0 and (caps is None or a < caps[i])]
     heapq.heapify(queue)
-    while seats and queue:
+    while seats > 0 and queue:
         _, i = heapq.heappop(queue)
         given[i] += 1
         seats -= 1
@@ -40,6 +49,42 @@ def apportion(weights: list[float], seats: int, caps: list[int] | None = None) -
     return given
 
 
+def _above_quotient(weights: np.ndarray, seats: int, caps: np.ndarray | None) -> list[int]:
+    """Seats of each weight whose quotients surely come before the last ones: the seats above a quotient, less one each."""
+    total = weights.sum()
+    if total <= 0 or seats <= 0:
+        return [0] * len(weights)
+
+    def above(divisor: float) -> np.ndarray:
+        n = np.floor(weights / divisor + 0.5)
+        return n if caps is None else np.minimum(n, np.maximum(caps, 0))
+
+    # with ``high`` no weight has more seats than there are; with caps the divisor may have to go far down
+    low, high = total / (seats + len(weights)) * 1e-9, 2 * total
+    for _ in range(200):
+        middle = (low * high) ** 0.5
+        if above(middle).sum() <= seats:
+            high = middle
+        else:
+            low = middle
+        if high / low < 1 + 1e-12:
+            break
+    return np.maximum(above(high) - 1, 0).astype(np.int64).tolist()
+
+
+def share_out(quota: int, held: list[int], repeats: int) -> list[int]:
+    """Tokens of ``quota`` for each shard, by Sainte-Laguë in proportion to ``held``; together exactly the quota, or all that
+    ``repeats`` uses give if that is less."""
+    room = np.array(held, np.int64) * repeats
+    quota = min(quota, int(room.sum()))
+    block = max(1, quota // (SHARD_BLOCKS * max(1, len(held))))
+    given = np.array(apportion([float(h) for h in held], quota // block, (room // block).tolist()), np.int64) * block
+    # less than a block for the last and for each shard at its cap: to the shards that have room, in order
+    room -= given
+    before = np.cumsum(room) - room
+    return (given + np.clip(quota - int(given.sum()) - before, 0, room)).tolist()
+
+
 def at_cap(turns: list[int], caps: list[int]) -> list[bool]:
     """Which sources run into their cap, in whole blocks, within the seats that come to them.
 
@@ -59,9 +104,11 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
 
     ``targets``: (mix, source, target share, greatest number of uses of a document), a fixed small
     list. Uses: ``(mix_id, source, item, tokens, uses)``, uses of 1 or more. Shares: one row per target,
-    ``(mix_id, source, target_share, max_repeats, tokens_available, tokens_target, tokens_used,
-    share_of_target_size, share_reached, is_short)``; ``is_short`` if all documents at full repeats have
-    fewer tokens than the target share of the tokens of all documents. Documents without source count
+    ``(mix_id, source, target_share, max_repeats, tokens_available, tokens_target, tokens_used, tokens_off,
+    block_tokens, share_of_target_size, share_reached, is_short)``; ``is_short`` if all documents at full
+    repeats have fewer tokens than the target share of the tokens of all documents. ``tokens_off`` is used
+    less target; of a source that is not short it is within a block or so of ``block_tokens`` and less than
+    a document for each shard, either way and without a bias. Documents without source count
     in that total and are in no mix; null or zero sizes use no tokens and are left out; a target without
     documents is short unless there are no tokens at all (then every target is 0). Equal documents are documents of their own; items must be unique.
     """
@@ -72,10 +119,10 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
     named = sorted({clean for _, clean, _, _ in targets})
     sums = rows.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
     held = {r["source"]: r["tokens"] for r in sums}
-    counts = {s: 1 for s in named} | {r["source"]: -(-r["n"] // shard_rows) for r in sums}
+    counts = {s: 1 for s in named} | {r["source"]: min(MOST_SHARDS, -(-r["n"] // shard_rows)) for r in sums}
     shards_of = spark.createDataFrame(pd.DataFrame({"source": pd.Series(list(counts), dtype=object), "shards": pd.Series(list(counts.values()), dtype="int64")}), "source string, shards long")
     placed = rows.where("tokens > 0").join(F.broadcast(shards_of), "source").withColumn("shard", F.pmod(F.xxhash64("item", F.lit(seed)), F.col("shards"))).drop("shards")
-    # one row per shard_rows documents
+    # one row per shard, MOST_SHARDS a source at most
     shard_tokens = {s: [] for s in named}
     for r in placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).orderBy("source", "shard").collect():
         shard_tokens[r["source"]].append((r["shard"], r["tokens"]))
@@ -95,17 +142,17 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
             if short:  # every document at full repeats
                 quotas += [(mix_id, name, shard, repeats, 0) for shard, _ in shares]
                 continue
-            caps = [t * repeats // size + 1 for _, t in shares]
-            for (shard, held_here), n in zip(shares, apportion([float(t) for _, t in shares], seats, caps)):
-                quota = min(n * size, held_here * repeats)
+            tokens_of = [t for _, t in shares]
+            for (shard, held_here), quota in zip(shares, share_out(seats * size, tokens_of, repeats)):
                 quotas.append((mix_id, name, shard, quota // held_here, quota % held_here))
     quota = spark.createDataFrame(pd.DataFrame(quotas, columns=["mix_id", "source", "shard", "whole", "part"]), "mix_id string, source string, shard long, whole long, part long") if quotas else spark.createDataFrame([], "mix_id string, source string, shard long, whole long, part long")
     order = Window.partitionBy("mix_id", "source", "shard").orderBy(F.xxhash64("item", F.lit(seed + 1), "mix_id"), "item")
     passed = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     uses = (
-        placed.join(F.broadcast(quota), ["source", "shard"])  # as many rows as shards and mixes
-        .withColumn("middle", passed - F.col("tokens") / 2)
-        .select("mix_id", "source", "item", "tokens", (F.col("whole") + (F.col("middle") < F.col("part")).cast("long")).alias("uses"))
+        placed.join(F.broadcast(quota), ["source", "shard"])  # at most MOST_SHARDS rows a target
+        # the document on a quota's edge is in as often as the quota reaches into it, so that shards' errors cancel out
+        .withColumn("reach", passed - F.col("tokens") * (F.pmod(F.xxhash64("mix_id", "source", "shard", F.lit(seed + 2)), F.lit(1 << 20)) + 0.5) / (1 << 20))
+        .select("mix_id", "source", "item", "tokens", (F.col("whole") + (F.col("reach") < F.col("part")).cast("long")).alias("uses"))
         .where("uses > 0")
     )
     used = uses.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"))
@@ -120,6 +167,8 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
         "tokens_available",
         "tokens_target",
         "tokens_used",
+        (F.col("tokens_used") - F.col("tokens_target")).alias("tokens_off"),
+        F.lit(size).cast("long").alias("block_tokens"),
         (F.col("tokens_used") / F.lit(max(1, total))).alias("share_of_target_size"),
         F.when(whole > 0, F.col("tokens_used") / whole).otherwise(F.lit(0.0)).alias("share_reached"),
         "is_short",

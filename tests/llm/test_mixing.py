@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from runloom.llm import mixing
-from runloom.llm.mixing import apportion, at_cap, mix
+from runloom.llm.mixing import apportion, at_cap, mix, share_out
 
 SCHEMA = "id long, src string, tokens long, source string, item string, shard long, uses long"
 
@@ -89,3 +89,36 @@ def test_the_apportionment_finds_the_short_sources(frame, monkeypatch):
     assert short() == {"a": True, "b": False}
     monkeypatch.setattr(mixing, "at_cap", lambda turns, caps: [False for _ in caps])
     assert short() == {"a": False, "b": False}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=12), st.integers(0, 10**7), st.booleans())
+def test_many_seats_at_once_are_those_given_one_by_one(weights, seats, capped):
+    caps = [w * seats // (2 * sum(weights)) + 1 for w in weights] if capped else None
+    given_ = apportion(weights, seats, caps)
+    assert sum(given_) == (min(seats, sum(caps)) if capped else seats)
+    open_ = [i for i in range(len(weights)) if not capped or given_[i] < caps[i]]
+    last = min((weights[i] / (2 * given_[i] - 1) for i in range(len(weights)) if given_[i]), default=1e9)
+    assert all(weights[i] / (2 * given_[i] + 1) <= last * (1 + 1e-12) for i in open_)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 10**5), min_size=1, max_size=40), st.integers(1, 4), st.floats(0, 1.2))
+def test_shards_hold_a_quota_to_the_token(held, repeats, share):
+    quota = int(sum(held) * repeats * share)
+    parts = share_out(quota, held, repeats)
+    assert sum(parts) == min(quota, sum(held) * repeats)
+    assert all(0 <= p <= h * repeats for p, h in zip(parts, held))
+
+
+@pytest.mark.parametrize("blocks,shard_rows,share,repeats", [(10, 5, 0.3, 1), (10, 5, 0.3, 2), (10_000, 5, 0.3, 1), (10, 10**6, 0.3, 1)])
+def test_a_target_that_is_not_short_is_met_within_a_block(frame, blocks, shard_rows, share, repeats):
+    """Also with shards that hold less than a block, and with just a little more supply than is wanted."""
+    rng = random.Random(6)
+    data = [(i, "a" if i < 1240 // repeats else "b", rng.randrange(50, 60), "", "", 0, 0) for i in range(4000)]
+    _, shares = mix(frame(data, SCHEMA), "id", "src", "tokens", [("m", "a", share, repeats), ("m", "b", 1 - share, 2)], blocks, shard_rows)
+    for r in shares.collect():
+        assert not r.is_short and r.tokens_off == r.tokens_used - r.tokens_target
+        # and for each shard less than a document, either way and without a bias: three standard errors of half a document each
+        shards = -(-sum(d[1] == r.source for d in data) // shard_rows)
+        assert abs(r.tokens_off) <= r.block_tokens + 3 * 30 * shards**0.5
