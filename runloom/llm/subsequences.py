@@ -5,11 +5,14 @@ an item extends it exactly if the item's last position lies behind that end. Pat
 level: each level is one pass over the item arrays that counts, per batch of sequences, the extensions
 of the prefixes that are frequent over all sequences; only (pattern, count) rows are shuffled.
 
-Before sequences are assembled, infrequent items are dropped and equal steps collapsed. A sequence is
-assembled in chunks of steps, and each chunk is shortened to a word with the same subsequences up to
-the wanted length (Simon's congruence, which concatenation preserves; a letter may go when its ranks
-from the left and the right exceed that length by more than one), so that one sequence with a third of
-all rows is spread over tasks and its assembled form is bounded by the items, not the rows.
+Before sequences are assembled, equal steps are collapsed and infrequent items dropped. Steps are then
+range-partitioned by sequence and order, so a sequence with a third of all rows is spread over tasks
+whatever its order values are. A task reads its steps in order and keeps of each sequence a word that is
+shortened whenever it grows (Simon's congruence: a word with the same subsequences up to the wanted
+length, which concatenation preserves; a letter may go when its ranks from the left and the right exceed
+that length by more than one). What a task holds of a sequence is bounded by the items, not the rows.
+Only a task's first and last sequence can go on in another one; these pieces, two for each task, are
+joined in the same way.
 """
 
 from __future__ import annotations
@@ -24,10 +27,9 @@ from pyspark.sql import types as T
 
 from runloom.session import cut
 
-CHUNK_STEPS = 1024
 #: (prefix, item) pairs that a task holds at once.
 PAIRS = 2_000_000
-#: Chunks shorter than this are not worth shortening.
+#: Words are shortened when they have grown by so many steps.
 SHORT = 256
 
 
@@ -67,38 +69,88 @@ def shorten(word: np.ndarray, length: int) -> np.ndarray:
     return word[kept[::-1]]
 
 
-def item_supports(steps: DataFrame, sequence: str, item: str) -> DataFrame:
+class _Words:
+    """The words of sequences that come one behind the other, in pieces; each is shortened whenever it has grown."""
+
+    def __init__(self, length: int):
+        self.length, self.name, self.parts, self.held, self.settled = length, None, [], 0, 0
+
+    def _shortened(self) -> np.ndarray:
+        word = np.concatenate(self.parts)
+        return shorten(word, self.length) if len(word) > SHORT else word
+
+    def add(self, name: object, codes: np.ndarray) -> tuple[object, np.ndarray] | None:
+        """Take a piece; returns the sequence before with its word if this piece is another one's."""
+        done = None
+        if self.name is not None and name != self.name:
+            done = self.end()
+        self.name = name
+        self.parts.append(codes)
+        self.held += len(codes)
+        if self.held > self.settled + SHORT:
+            self.parts = [self._shortened()]
+            self.held = self.settled = len(self.parts[0])
+        return done
+
+    def end(self) -> tuple[object, np.ndarray] | None:
+        done = None if self.name is None else (self.name, self._shortened())
+        self.name, self.parts, self.held, self.settled = None, [], 0, 0
+        return done
+
+
+def collapse(steps: DataFrame, sequence: str, order: list[str], item: str, length: int) -> DataFrame:
+    """``(s, o0, o1, ..., item, times)``: equal steps as one row, ``times`` counted up to ``length``; null sequences and items are left out."""
+    orders = [f"o{i}" for i in range(len(order))]
+    rows = steps.select(F.col(sequence).alias("s"), *[F.col(c).alias(o) for c, o in zip(order, orders)], F.col(item).alias("item"))
+    return rows.where("s is not null and item is not null").groupBy("s", *orders, "item").agg(F.least(F.count("*"), F.lit(length)).cast("int").alias("times"))
+
+
+def item_supports(collapsed: DataFrame) -> DataFrame:
     """``(item, support)``: sequences that contain each item."""
-    return steps.select(F.col(sequence).alias("s"), F.col(item).alias("item")).where("s is not null and item is not null").distinct().groupBy("item").agg(F.count("*").alias("support"))
+    return collapsed.select("s", "item").distinct().groupBy("item").agg(F.count("*").alias("support"))
 
 
-def assemble(steps: DataFrame, sequence: str, order: list[str], item: str, items: list[str], length: int) -> DataFrame:
+def assemble(collapsed: DataFrame, items: list[str], length: int) -> DataFrame:
     """``codes``: per sequence the codes (index in ``items``) of its steps in order, shortened where long.
 
-    Steps of other items are left out. ``order[0]`` must be an integer; equal order values are ordered
-    by code. Nulls in ``order`` come first.
+    Steps of other items are left out; equal order values are ordered by code. Nulls in the order come first.
     """
-    spark = steps.sparkSession
+    spark = collapsed.sparkSession
     names = spark.createDataFrame(pd.DataFrame({"item": pd.Series(items, dtype=object), "code": np.arange(len(items), dtype=np.int32)}), "item string, code int")
-    orders = [f"o{i}" for i in range(len(order))]
-    coded = (
-        steps.select(F.col(sequence).alias("s"), *[F.col(c).alias(o) for c, o in zip(order, orders)], F.col(item).alias("item"))
-        .where("s is not null")
-        .join(F.broadcast(names), "item")  # one row per frequent item
-        .groupBy("s", *orders, "code")
-        .agg(F.least(F.count("*"), F.lit(length)).cast("int").alias("times"))
-    )
-    chunk = F.coalesce(F.floor(F.col("o0") / CHUNK_STEPS), F.lit(-1)).cast("long").alias("chunk")
-    chunks = coded.groupBy("s", chunk).agg(F.sort_array(F.collect_list(F.struct(*orders, "code", "times"))).alias("steps"))
-
-    def shorter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keys = ["s", *[c for c in collapsed.columns if c not in ("s", "item", "times")], "code"]
+    # one row per frequent item, of which frequent_patterns has a greatest number
+    coded = collapsed.join(F.broadcast(names), "item").repartitionByRange(*keys).sortWithinPartitions(*keys).select("s", F.spark_partition_id().alias("part"), "code", "times")
+    schema = T.StructType([T.StructField("s", collapsed.schema["s"].dataType), T.StructField("part", T.IntegerType()), T.StructField("edge", T.BooleanType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, part, first = _Words(length), 0, True
+        for frame in frames:
+            if not len(frame):
+                continue
+            part = int(frame["part"].iloc[0])
+            name = frame["s"].to_numpy()
+            times = frame["times"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            codes = np.split(np.repeat(frame["code"].to_numpy(), times), np.cumsum(np.add.reduceat(times, starts))[:-1])
+            done = [x for i, c in zip(starts.tolist(), codes) if (x := words.add(name[i], c))]
+            if done:
+                yield pd.DataFrame({"s": [x[0] for x in done], "part": part, "edge": [first] + [False] * (len(done) - 1), "codes": [x[1] for x in done]})
+                first = False
+        if last := words.end():
+            yield pd.DataFrame({"s": [last[0]], "part": part, "edge": True, "codes": [last[1]]})
+
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _Words(length)
         for frame in frames:
-            words = [np.repeat(c, t) for c, t in zip(frame["code"], frame["times"])]
-            yield frame[["s", "chunk"]].assign(codes=[shorten(w, length) if len(w) > SHORT else w for w in words])
+            done = [x[1] for name, codes in zip(frame["s"], frame["codes"]) if (x := words.add(name, np.asarray(codes)))]
+            if done:
+                yield pd.DataFrame({"codes": done})
+        if last := words.end():
+            yield pd.DataFrame({"codes": [last[1]]})
 
-    schema = T.StructType([T.StructField("s", steps.schema[sequence].dataType), T.StructField("chunk", T.LongType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
-    short = chunks.select("s", "chunk", F.col("steps.code").alias("code"), F.col("steps.times").alias("times")).mapInPandas(shorter, schema)
-    return short.groupBy("s").agg(F.flatten(F.sort_array(F.collect_list(F.struct("chunk", "codes"))).getField("codes")).alias("codes")).select("codes")
+    found = cut(coded.mapInPandas(pieces, schema))
+    across = found.where("edge").repartition("s").sortWithinPartitions("s", "part").select("s", "codes").mapInPandas(joined, "codes array<int>")
+    return found.where("not edge").select("codes").unionByName(across)
 
 
 class _Batch:
@@ -161,21 +213,22 @@ def frequent_patterns(steps: DataFrame, sequence: str, order: list[str], item: s
     """``(items array<string>, support bigint)``: every pattern of 1 to ``length`` steps that at least
     ``min_support`` sequences contain, gaps allowed, items may repeat (then at different positions).
 
-    Order within a sequence is ``order`` (the first an integer), equal steps by item name. Rows with
-    null sequence or item are left out; an empty table gives no rows; repeated rows are repeated steps;
+    Order within a sequence is ``order``, nulls first, equal steps by item name. Rows with null sequence
+    or item are left out; an empty table gives no rows; repeated rows are repeated steps;
     extra columns are ignored. The frequent patterns of a level are held by the driver and sent to the
     tasks: more than ``max_patterns`` raise an error.
     """
     spark = steps.sparkSession
     min_support = max(1, min_support)
-    supports = {r["item"]: r["support"] for r in item_supports(steps, sequence, item).where(F.col("support") >= min_support).limit(max_patterns + 1).collect()}
+    collapsed = cut(collapse(steps, sequence, order, item, length))
+    supports = {r["item"]: r["support"] for r in item_supports(collapsed).where(F.col("support") >= min_support).limit(max_patterns + 1).collect()}
     if len(supports) > max_patterns:
         raise ValueError(f"more than {max_patterns} frequent patterns; raise the support")
     items = sorted(supports)
     rows = [([name], supports[name]) for name in items]
     k = len(items)
     if k and length > 1:
-        words = cut(assemble(steps, sequence, order, item, items, length))
+        words = assemble(collapsed, items, length)
         levels: list[np.ndarray] = []
         patterns = [(i,) for i in range(k)]
         for _ in range(2, length + 1):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from runloom.llm import subsequences
 from runloom.llm.subsequences import frequent_patterns, shorten
@@ -68,13 +69,39 @@ def test_against_brute_force(frame, support):
     assert got == brute(data, support, 3)
 
 
-def test_a_hot_sequence_in_chunks(frame, monkeypatch):
+@pytest.mark.parametrize("order", ["rising", "constant", "null"])
+def test_a_hot_sequence_is_spread_over_tasks(frame, order):
+    """Whatever its order values are: a rising step, and times that differ beside a step that is constant or null."""
     rng = random.Random(9)
-    data = [("hot", step, AT, rng.choice("abcde"), "x", 1, 2) for step in range(5000)] + rows(4, 20)
+    step = {"rising": lambda i: i, "constant": lambda i: 7, "null": lambda i: None}[order]
+    data = [("hot", step(i), AT + timedelta(seconds=i), rng.choice("abcde"), "x", 1, 2) for i in range(20_000)] + rows(4, 20)
     got = {tuple(r["items"]): r.support for r in frequent_patterns(frame(data, SCHEMA), "run", ["step", "at"], "item", 2, 3).collect()}
     assert got == brute(data, 2, 3)
-    words = subsequences.assemble(frame(data, SCHEMA), "run", ["step", "at"], "item", list("abcde"), 3)
+    collapsed = subsequences.collapse(frame(data, SCHEMA), "run", ["step", "at"], "item", 3)
+    words = subsequences.assemble(collapsed, list("abcde"), 3)
     assert max(len(r.codes) for r in words.collect()) < 600
+    # the range partitioning that assemble makes: no task has more than a little over its share
+    keys = ["s", "o0", "o1", "item"]
+    tasks = [r["count"] for r in collapsed.repartitionByRange(4, *keys).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 2 and max(tasks) < 0.5 * sum(tasks)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(st.integers(0, 2), max_size=12)), max_size=12))
+def test_words_in_pieces(pieces):
+    pieces.sort(key=lambda x: x[0])
+    words, got, want = subsequences._Words(3), {}, {}
+    subsequences.SHORT, before = 4, subsequences.SHORT
+    try:
+        for name, codes in pieces:
+            want[name] = want.get(name, []) + codes
+            if done := words.add(name, np.array(codes, int)):
+                got[done[0]] = done[1].tolist()
+        if done := words.end():
+            got[done[0]] = done[1].tolist()
+    finally:
+        subsequences.SHORT = before
+    assert set(got) == set(want) and all(contained(got[n], 3) == contained(want[n], 3) for n in want)
 
 
 def test_repeated_items_need_different_steps(frame):
