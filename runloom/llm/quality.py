@@ -1,13 +1,21 @@
-"""Per-document text quality statistics, and the share of a text that is lists, tables or junk.
+"""Per-document text quality statistics, and whether most of a text is lists, tables or junk.
 
 Texts are laid end to end as code points and all lines of a block are measured at once: counts of
-character classes per line, words, their lengths and hashes. Tables are found by delimiters whose
-number agrees with a neighbouring line or along a run of lines (vertical alignment), lists by markers and by runs of short
-lines of one indentation, junk by long unbroken words, symbol and digit ratios, repeated words and
-unusual characters. Prefixes of the export format (comment marks, output marks, JSON quotes) are
-skipped first. A document's statistics also hold the alignment, the periodicity of its indentation and
-the autocorrelation of its line lengths; the last two decide nothing. Lines are compared with neighbours of
-their own text only, so blocks of documents are independent and nothing is shuffled.
+character classes per line, words, their lengths and hashes. Three signals of layout are taken:
+
+- vertical delimiter alignment: pipes and the edges of cells that stand in the column of one in the line
+  before or behind, and commas, semicolons and tabs of which neighbouring lines have equally many;
+- indentation periodicity: short lines whose indentation comes back within LAGS lines, and per text the
+  greatest autocorrelation of the indentation over these lags;
+- the greatest autocorrelation of the line lengths over the same lags.
+
+Tables are aligned lines, lists are marked lines and periodic short ones, and junk is told by word, symbol
+and digit ratios. Prefixes of the export format (comment marks, output marks, JSON quotes) are skipped
+first. What decides on a text is a logistic model over the shares of its lists, tables and junk, the three
+signals, and the ratios of symbols, punctuated lines, common words and the mean word length. It is fitted
+on at most LABELLED labelled texts; its prior is the definition (the shares add up to one half), so that
+few labels move it little and none leave it as it is. Lines are compared with neighbours of their own text
+only, so blocks of documents are independent and nothing but labels is shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +55,8 @@ CLASS = _classes()
 BROKEN = np.array([ord(c) for c in "ÃÂâïÐ"], np.uint32)
 #: Characters of a short line of text without blanks at most, and the punctuation that it has not.
 WIDE_SHORT = 16
+#: Periods, in lines, of indentation and line lengths that are looked for.
+LAGS = 4
 WIDE_STOPS = np.array([ord(c) for c in "，。！？；："], np.uint32)
 #: Ranges of the letters and digits of scripts that are written without blanks.
 WIDE_LETTERS = ((0x3005, 0x3007), (0x3040, 0xD7FF), (0xF900, 0xFAFF), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFFDC), (0x20000, 0x3FFFF))
@@ -78,6 +88,28 @@ def word_hash(word: str) -> int:
     return int(_hashes(points, np.array([0]), np.zeros(len(points), int))[0])
 
 
+#: Labelled texts that the model is fitted on at most: those with the smallest hashes.
+LABELLED = 2000
+#: The model's inputs, with the prior means of their weights and of the constant; PRECISION is that of all weights.
+PRIOR = {"delimiter_alignment": 0.0, "indent_periodicity": 0.0, "length_autocorrelation": 0.0, "symbol_ratio": 0.0, "punctuated_lines": 0.0, "common_words": 0.0, "mean_word_length": 0.0, "list_share": 8.0, "table_share": 8.0, "junk_share": 8.0}
+PRIOR_CONSTANT = -4.0
+PRECISION = 0.1
+
+
+def autocorrelation(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Per text the greatest autocorrelation of its lines' ``value`` over lags of 1 to LAGS lines; 0 if all are equal or there are fewer than 2 * LAGS."""
+    count = np.bincount(doc, minlength=n)
+    mean = np.divide(np.bincount(doc, value, minlength=n), count, out=np.zeros(n), where=count > 0)
+    centred = value - mean[doc]
+    spread = np.bincount(doc, centred**2, minlength=n)
+    best = np.full(n, -1.0)
+    for lag in range(1, LAGS + 1):
+        same = doc[lag:] == doc[:-lag]
+        product = np.bincount(doc[lag:][same], (centred[lag:] * centred[:-lag])[same], minlength=n)
+        best = np.maximum(best, np.divide(product, spread, out=np.zeros(n), where=spread > 1e-9))
+    return np.where((count >= 2 * LAGS) & (spread > 1e-9), best, 0.0)
+
+
 class Lines:
     """The measured lines of a block of texts."""
 
@@ -156,6 +188,26 @@ class Lines:
         self.words = np.maximum(self._sum(begins), (self.size > 0).astype(int))
         gap = blank & np.r_[blank[1:], False] & ~np.r_[False, blank[:-1]]
         self.gaps = self._sum(gap & (points != 10))
+        self.pipes = points == ord("|")
+        self.columns = np.maximum.reduce([self._columns(edge) for edge in (gap & (points != 10), begins & np.r_[False, False, (blank[1:] & blank[:-1])[:-1]], self.pipes)])
+
+    def _columns(self, edge: np.ndarray) -> np.ndarray:
+        """Vertical alignment: per line the share of its edges (2 at least) that stand in the column of an edge of the line before or behind."""
+        at = np.flatnonzero(edge)
+        line = np.searchsorted(self.start, at, "right") - 1
+        # the first cell is where the indentation puts it; a pipe before it is an edge
+        inside = ((at > self.first[line]) | self.pipes[at]) & (at >= self.first[line]) & (at < self.last[line])
+        at, line = at[inside], line[inside]
+        width = int(self.length.max(initial=0)) + 1
+        column = at - self.start[line]
+        place = line * width + column
+        near = np.zeros(len(at), bool)
+        for step in (-1, 1):
+            other = np.clip(line + step, 0, len(self.start) - 1)
+            found = np.minimum(np.searchsorted(place, other * width + column), len(place) - 1)
+            near |= (place[found] == other * width + column) & (other != line) & (self.doc[other] == self.doc[line])
+        edges = np.bincount(line, minlength=len(self.start))
+        return np.divide(np.bincount(line, near, minlength=len(self.start)), edges, out=np.zeros(len(edges)), where=edges >= 2)
 
     def _segment(self, words: list[str]) -> None:
         """Words of text without blanks: the longest known word at each place, and the stretches between known words.
@@ -263,7 +315,7 @@ class Lines:
         array = (commas >= 1) & (digits * 3 > n) & dense
         piped = (head[0] == ord("|")) & (of[PIPE] >= 2)
         markup = (head[0] == ord("<")) & ((head[1] == ord("t")) | ((head[1] == ord("/")) & (head[2] == ord("t"))))
-        spaced = (self.gaps >= 2) & (self.aligned(self.words) | self.aligned(self.gaps)) & (self.equals == 0)
+        spaced = (self.gaps >= 2) & (self.columns * 2 >= 1) & (self.equals == 0)
         numbers = (self.words >= 2) & (digits * 2 > n) & self.aligned(self.words) & (self.equals == 0)
         table = some & ~junk & (csv | even | array | (tabs >= 1) & (self.equals == 0) & (of[OPEN] == 0) | piped | markup | spaced | numbers)
 
@@ -289,10 +341,16 @@ class Lines:
         return self._closed(label)
 
     def _in_run(self, mask: np.ndarray, least: int) -> np.ndarray:
-        """Members of runs of at least ``least`` lines of one text and indentation."""
-        fresh = np.r_[True, ~(mask[1:] & mask[:-1] & (self.doc[1:] == self.doc[:-1]) & (self.indent[1:] == self.indent[:-1]))]
+        """Members of runs of at least ``least`` lines of one text whose indentation comes back with a period of at most LAGS lines."""
+        fresh = np.r_[True, ~(mask[1:] & mask[:-1] & (self.doc[1:] == self.doc[:-1]))]
         run = np.cumsum(fresh) - 1
-        return mask & (np.bincount(run, minlength=run[-1] + 1 if len(run) else 0)[run] >= least)
+        again = np.zeros(len(mask), bool)
+        for lag in range(1, LAGS + 1):
+            same = (run[lag:] == run[:-lag]) & (self.indent[lag:] == self.indent[:-lag])
+            again[lag:] |= same
+            again[:-lag] |= same
+        size = np.bincount(run, mask & again, minlength=run[-1] + 1 if len(run) else 0)
+        return mask & again & (size[run] >= least)
 
     def _even(self, count: np.ndarray, mask: np.ndarray, least: int) -> np.ndarray:
         """Members of runs of at least ``least`` lines of one text with the same ``count``."""
@@ -339,22 +397,61 @@ def measure(texts: list[str], common: dict[str, np.ndarray], wide: dict[str, lis
         is_wide = np.isin(lines.wide_word, [i for i, w in enumerate(wide_words) if w in wide.get(lang, ())])
         hits.append(np.bincount(run_doc[is_known], minlength=n) + np.bincount(wide_doc[is_wide], minlength=n))
     out["common_words"] = ratio(np.max(hits, axis=0).astype(float), runs) if hits else np.zeros(n)
-    delimiters = of[COMMA] + lines.semicolons + of[TAB] + of[PIPE] + lines.gaps
-    out["delimiter_alignment"] = ratio(by_doc(lines.aligned(delimiters).astype(float)), by_doc(filled))
-    near = np.r_[False, lines.doc[1:] == lines.doc[:-1]] & (filled > 0) & np.r_[False, filled[:-1] > 0]
-    # an indentation that comes back after one or two lines
-    second = np.r_[False, False, (lines.doc[2:] == lines.doc[:-2]) & (lines.indent[2:] == lines.indent[:-2])] if len(near) > 2 else np.zeros(len(near), bool)
-    again = near & (np.r_[False, lines.indent[1:] == lines.indent[:-1]] | second) & (lines.indent > 0)
-    out["indent_periodicity"] = ratio(by_doc(again.astype(float)), by_doc(near.astype(float)))
-    size = lines.size.astype(float)
-    centred = size - ratio(by_doc(size * filled), by_doc(filled))[lines.doc]
-    out["length_autocorrelation"] = ratio(by_doc(np.r_[0.0, centred[1:] * centred[:-1]] * near), by_doc(centred**2 * filled))
+    delimiters = of[COMMA] + lines.semicolons + of[TAB] + of[PIPE]
+    vertical = (lines.columns >= 0.5) | lines.aligned(delimiters)
     weight = (lines.length + 1).astype(float)
+    out["delimiter_alignment"] = np.minimum(1.0, ratio(by_doc(weight * vertical), chars))
+    # blank lines part paragraphs and cells, and have no place in the rhythm of a text
+    full = lines.size > 0
+    out["indent_periodicity"] = autocorrelation(lines.doc[full], lines.indent[full].astype(float), n)
+    out["length_autocorrelation"] = autocorrelation(lines.doc[full], np.log1p(lines.size[full]), n)
     for name, kind in (("list_share", LIST), ("table_share", TABLE), ("junk_share", JUNK)):
         out[name] = np.minimum(1.0, ratio(by_doc(weight, label == kind), chars))
     return out
 
 
+def fit(statistics: pd.DataFrame, other: np.ndarray) -> np.ndarray:
+    """Weights of PRIOR's inputs and the constant that are most probable given texts of which ``other`` are not prose (Newton's method)."""
+    x = np.column_stack([np.log1p(statistics[c]) if c == "mean_word_length" else statistics[c] for c in PRIOR] + [np.ones(len(statistics))]).astype(float)
+    prior = np.array([*PRIOR.values(), PRIOR_CONSTANT])
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ w).sum() - other @ (x @ w) + PRECISION / 2 * ((w - prior) ** 2).sum())
+
+    w = prior
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w)), x.T @ (p - other) + PRECISION * (w - prior))
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return w
+
+
+def probability(weights: np.ndarray) -> Column:
+    """That most of a text is lists, tables or junk, from its statistics."""
+    z = F.lit(float(weights[-1]))
+    for name, weight in zip(PRIOR, weights):
+        z = z + F.lit(float(weight)) * (F.log1p(name) if name == "mean_word_length" else F.col(name))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def labelled(statistics: DataFrame, item: str, labels: DataFrame, label: str, prose: str) -> DataFrame:
+    """``statistics`` of the texts whose labels agree, with ``other`` (the label is not ``prose``) and ``place`` (a hash to choose by)."""
+    agreed = labels.where(F.col(item).isNotNull() & F.col(label).isNotNull()).groupBy(item).agg(F.min(label).alias("least"), F.max(label).alias("most")).where("least = most")
+    chosen = agreed.select(item, (F.col("least") != prose).alias("other"), F.xxhash64(item, F.lit(11)).alias("place"))
+    return statistics.join(chosen, item)
+
+
+def fitted(statistics: DataFrame, item: str, labels: DataFrame, label: str = "label", prose: str = "prose", most: int = LABELLED) -> np.ndarray:
+    """The model's weights from at most ``most`` labelled texts; those of the prior if there are none."""
+    rows = labelled(statistics, item, labels, label, prose).orderBy("place", item).limit(most).toPandas()
+    return fit(rows, rows["other"].to_numpy().astype(float))
+
+
 def text_statistics(df: DataFrame, item: str, text: str, common: dict[str, list[str]]) -> DataFrame:
     """``item`` and the STATISTICS of its whole text. ``common``: frequent words by language, a fixed small list.
 

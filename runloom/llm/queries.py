@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.ids import one_per_message
 from runloom.llm import bitmaps, digests, mixing, packing, quality, subsequences, tokens
+from runloom.session import cut
 from runloom.sources.tables import table
 
 DIMS = ["project_id", "agent_name", "model", "event_type"]
@@ -50,8 +51,6 @@ def _daily_digests(calls: DataFrame) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs whose 95th percentile is more than 3 times that of the model."""
-    from runloom.session import cut
-
     calls = cut(_calls(spark, folder).select("agent_name", "model", "latency_ms"))
     pairs = cut(digests.merge_digests(digests.partial_digests(calls, ["agent_name", "model"], "latency_ms"), ["agent_name", "model"]))
     models = digests.merge_digests(pairs, ["model"])
@@ -62,8 +61,6 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact percentiles of latency per agent and model: daily digests combined, then the counting pass."""
-    from runloom.session import cut
-
     calls = cut(_calls(spark, folder))
     keys = ["agent_name", "model"]
     found = digests.quantiles(digests.merge_digests(_daily_digests(calls), keys), keys, PROBABILITIES)
@@ -73,8 +70,6 @@ def p4_latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_latency_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Estimated percentiles of latency per agent and model with their certified rank error."""
-    from runloom.session import cut
-
     calls = cut(_calls(spark, folder))
     keys = ["agent_name", "model"]
     found = digests.quantiles(digests.merge_digests(_daily_digests(calls), keys), keys, PROBABILITIES)
@@ -110,8 +105,6 @@ def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    from runloom.session import cut
-
     sizes = cut(_sizes(spark, folder))
     packed = None
     for spec in table(spark, folder, "container_specs").orderBy("spec_id").collect():  # a fixed table of a few rows
@@ -207,8 +200,21 @@ def _statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of whose text more than half is lists, tables or junk."""
-    return _statistics(spark, folder).where("list_share + table_share + junk_share > 0.5").select("doc_id")
+    """Documents of whose text more than half is lists, tables or junk, by the model fitted on the labels."""
+    statistics = cut(_statistics(spark, folder))
+    weights = quality.fitted(statistics, "doc_id", table(spark, folder, "doc_labels"))
+    return statistics.where(quality.probability(weights) > 0.5).select("doc_id")
+
+
+def p10_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall and precision on the half of the labelled documents that a model of the other half has not seen."""
+    statistics = cut(_statistics(spark, folder))
+    known = cut(quality.labelled(statistics, "doc_id", table(spark, folder, "doc_labels"), "label", "prose"))
+    seen = known.where("place % 2 = 0").orderBy("place", "doc_id").limit(quality.LABELLED).toPandas()
+    weights = quality.fit(seen, seen["other"].to_numpy().astype(float))
+    judged = known.where("place % 2 <> 0").select("other", (quality.probability(weights) > 0.5).alias("found"))
+    counts = judged.agg(F.count("*").alias("n_held_out"), F.count_if("other").alias("n_other"), F.count_if("found").alias("n_found"), F.count_if(F.col("other") & F.col("found")).alias("n_both"))
+    return counts.select(F.lit(len(seen)).cast("long").alias("n_fitted"), "*", F.try_divide("n_both", "n_other").alias("recall"), F.try_divide("n_both", "n_found").alias("precision"))
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,4 +222,4 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _statistics(spark, folder)
 
 
-QUERIES |= {f.__name__: f for f in (p10_found, p10_statistics)}
+QUERIES |= {f.__name__: f for f in (p10_found, p10_holdout, p10_statistics)}

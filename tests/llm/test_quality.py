@@ -127,3 +127,58 @@ def test_labelled_documents():
     got = measure([r[0] for r in rows], HASHES)
     share = got["list_share"] + got["table_share"] + got["junk_share"]
     assert ((share > 0.5) == np.array([r[1] for r in rows])).mean() > 0.99
+
+
+def test_cells_stand_in_columns():
+    left = "name    place     state\npump    harbour   old\nvalve   tank      new\n"
+    right = "    1.5     20.25      3\n   12.5    120.25     13\n"
+    ragged = "name  place  state of it\nthe old pump  of the harbour  leaks\na valve  of  a tank\n"
+    assert measure([left * 4], HASHES)["delimiter_alignment"][0] > 0.9 and measure([left * 4], HASHES)["table_share"][0] > 0.9
+    assert measure([right * 4], HASHES)["delimiter_alignment"][0] > 0.9
+    assert measure([ragged], HASHES)["delimiter_alignment"][0] == 0
+
+
+def test_rhythm_of_lines():
+    steps = "first part\n    second part of it\n" * 8  # indentation and length come back every two lines
+    got = measure([steps, PROSE, "", "one line", "same\n" * 20], HASHES)
+    assert got["indent_periodicity"][0] > 0.8 and got["length_autocorrelation"][0] > 0.8
+    assert got["indent_periodicity"][2:].tolist() == got["length_autocorrelation"][2:].tolist() == [0, 0, 0]
+    assert got["list_share"][0] > 0.9
+    doc, value = np.repeat([0, 2], [40, 9]), np.r_[np.tile([1.0, 2.0, 3.0, 2.5], 10), np.arange(9)]
+    at = quality.autocorrelation(doc, value, 3)
+    centred = value[:40] - value[:40].mean()
+    assert at[0] == pytest.approx(max((centred[k:] * centred[: 40 - k]).sum() / (centred**2).sum() for k in range(1, 5))) and at[1] == 0
+
+
+def statistics(rng, n):
+    """Texts whose share of lists, tables and junk is noise, and whose alignment tells what they are."""
+    import pandas as pd
+
+    other = rng.random(n) < 0.4
+    frame = pd.DataFrame({c: rng.random(n) * 0.2 for c in quality.PRIOR})
+    frame["delimiter_alignment"] = np.where(other, 0.8, 0.1) + rng.normal(0, 0.05, n)
+    frame["table_share"] = 0.45 + rng.random(n) * 0.1
+    return frame, other.astype(float)
+
+
+def test_the_model_learns_from_the_signals():
+    rng = np.random.default_rng(5)
+    seen, held = statistics(rng, 400), statistics(rng, 400)
+    w = quality.fit(*seen)
+    x = np.column_stack([np.log1p(held[0][c]) if c == "mean_word_length" else held[0][c] for c in quality.PRIOR] + [np.ones(400)])
+    assert ((x @ w > 0) == (held[1] > 0)).mean() > 0.99
+    gradient = lambda s, o, v: s.T @ (1 / (1 + np.exp(-s @ v)) - o) + quality.PRECISION * (v - np.array([*quality.PRIOR.values(), quality.PRIOR_CONSTANT]))
+    seen_x = np.column_stack([np.log1p(seen[0][c]) if c == "mean_word_length" else seen[0][c] for c in quality.PRIOR] + [np.ones(400)])
+    assert np.abs(gradient(seen_x, seen[1], w)).max() < 1e-6
+    prior = quality.fit(seen[0].iloc[:0], seen[1][:0])
+    assert prior == pytest.approx([*quality.PRIOR.values(), quality.PRIOR_CONSTANT])
+
+
+def test_labels_that_disagree_or_lack_are_left_out(frame):
+    rows = text_statistics(frame([(i, KINDS["csv" if i % 2 else "prose"][0]) for i in range(1, 9)], "id long, body string"), "id", "body", COMMON)
+    labels = frame([(1, "a", "table"), (1, "b", "table"), (2, "a", "prose"), (3, "a", "table"), (3, "b", "prose"), (4, "a", None), (None, "a", "list"), (99, "a", "list")], "id long, rater string, label string")
+    got = {r.id: r.other for r in quality.labelled(rows, "id", labels, "label", "prose").collect()}
+    assert got == {1: True, 2: False}
+    weights = quality.fitted(rows, "id", labels)
+    assert [r.id for r in rows.where(quality.probability(weights) > 0.5).select("id").orderBy("id").collect()] == [1, 3, 5, 7]
+    assert quality.fitted(rows, "id", labels.limit(0)) == pytest.approx([*quality.PRIOR.values(), quality.PRIOR_CONSTANT])
