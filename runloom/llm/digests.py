@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,6 +150,12 @@ def quantiles(digests: DataFrame, keys: list[str], probabilities: list[float]) -
     return digests.groupBy(*keys).applyInPandas(read, schema)
 
 
+def error_bound(p: Column, n: Column, compression: int = COMPRESSION) -> Column:
+    """Bound of an estimate's rank error, as a share of n: the share that a cluster at p spans, for each of the three
+    times that centroids are clustered (rows, salted groups, groups), and one rank."""
+    return F.lit(3 * 2 * np.pi / compression) * F.greatest(F.sqrt(p * (1 - p)), F.lit(np.pi / compression)) + 1 / n
+
+
 def _counted(df: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
     """``wanted`` joined to the rows of its groups (null keys match)."""
     renamed = wanted.select(*[F.col(k).alias(f"w_{i}") for i, k in enumerate(keys)], *[c for c in wanted.columns if c not in keys])

@@ -1,14 +1,17 @@
 """Filling fixed-capacity containers, by the configuration linear program over the length histogram.
 
 Items are (document, length). Lengths are rounded up to units of the capacity, so the program sees a
-histogram of at most UNITS classes however many items there are, in at most CLASSES groups of
-neighbouring classes. A configuration says how many items of each group one container takes.
-Multiplicative weights find the configurations of the covering program: each round a knapsack dynamic
-program prices the best one under the groups' weights, and groups it holds lose weight. Pivots make the
+histogram of at most UNITS classes however many items there are. Items of 1 / SMALL of the capacity or
+more are its classes, in groups of neighbouring classes that count as their mean; all smaller ones
+together are one more class, a fluid of their total size.
+A configuration says how many items of each group one container takes and how much room it leaves to the
+fluid. Multiplicative weights find the configurations of the covering program: each round a knapsack
+dynamic program prices the best one under the weights, and classes it holds lose weight. Pivots make the
 best mix of them a basic solution, and pricing that closes the gap to the program's lower bound to GAP.
-It is rounded down, and what remains is solved again in fewer, wider groups until it fills a few
-containers. Items under 1 / SMALL of the capacity and those last containers' go into the free room, and
-what does not fit there is packed largest first; ``Plan.program_share`` says what the program placed.
+It is rounded down, and what remains is solved again until it fills a few containers. As groups are
+means, each container gives its smallest item of two or more back (and more where it is overfull). These,
+the small items and the last large ones then go, largest first, where each leaves least room;
+``Plan.program_share`` says what share of the large items' size stays where the program placed it.
 
 The plan is a list of (configuration, containers): its size depends on the classes, not on the items.
 Items find their container without meeting each other: an item's rank within its class is a slot, and
@@ -17,6 +20,7 @@ slots belong to containers by ranges. Ranks are taken in shards of a class, so n
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,19 +32,18 @@ from pyspark.sql import types as T
 
 from runloom.session import cut
 
-UNITS = 2048
-#: Classes under 1 / SMALL of the capacity stay out of the program and fill gaps.
-SMALL = 128
-#: Groups of classes in the program at most, and those with fewer than which it is not worth solving.
-CLASSES = 1000
-LEAST = 8
+UNITS = 8192
+#: Items under 1 / SMALL of the capacity are a fluid to the program.
+SMALL = 4
+#: Groups of classes in the program at most.
+CLASSES = 600
 #: Step of the weights of the class that a round covers most, and rounds of the weights per class.
 STEP = 0.25
-ROUNDS = 3
+ROUNDS = 1
 #: Configurations that pivots choose from before all are priced again.
 FEW = 30
 #: The program is solved until its containers are certified to be within this share of its lower bound.
-GAP = 0.002
+GAP = 0.0005
 
 
 def price(weights: np.ndarray, classes: np.ndarray, units: int) -> np.ndarray:
@@ -122,27 +125,34 @@ class _Basis:
             self.amount = np.maximum(self.inverse @ self.demand, 0.0)
 
 
-def solve(classes: np.ndarray, counts: np.ndarray, units: int) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Fractional (copies, containers) that cover the counts, and a lower bound of the containers.
+def solve(classes: np.ndarray, counts: np.ndarray, units: int, fluid: float = 0.0) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Fractional (copies, containers) that cover the counts and ``fluid`` units of anything, and a lower bound of the containers.
 
-    Multiplicative weights find configurations; the best mix of those found is a basic solution, with
-    no more configurations than classes. Any weights bound the containers from below, so the gap of the
-    two is known; what the weights leave of it is closed by pricing the basic solution itself.
+    The last of the copies is the room left to the fluid, if there is any. Multiplicative weights find
+    configurations; the best mix of those found is a basic solution, with no more configurations than
+    classes. Any weights bound the containers from below, so the gap of the two is known; what the weights
+    leave of it is closed by pricing the basic solution itself.
     """
-    weights, known, bound = classes / units, {}, 0.0
-    basis = _Basis(classes, counts, units)
+    sizes, demand = (np.r_[classes, 1], np.r_[counts, fluid]) if fluid > 0 else (classes, counts)
+    weights, known, bound = sizes / units, {}, 0.0
+    basis = _Basis(sizes, demand, units)
 
     def priced(y: np.ndarray) -> np.ndarray:
         nonlocal bound
-        copies = price(y, classes, units)
+        # room is worth what the fluid in it is
+        worth = y[-1] if fluid > 0 else 0.0
+        over = y[: len(classes)] - worth * classes
+        copies = price(over, classes, units) if over.max() > 0 else np.zeros(len(classes), np.int64)
+        if fluid > 0:
+            copies = np.r_[copies, units - int(copies @ classes)]
         known.setdefault(copies.tobytes(), copies)
-        bound = max(bound, float(counts @ y) / float(copies @ y))
+        bound = max(bound, float(demand @ y) / float(copies @ y))
         return copies
 
-    for _ in range(ROUNDS * len(classes)):
+    for _ in range(ROUNDS * len(sizes)):
         copies = priced(weights)
         hit = copies > 0
-        gained = copies / counts
+        gained = copies / demand
         weights = weights * np.exp(-STEP * gained / gained[hit].max())
         weights /= weights.max()
     while True:
@@ -162,10 +172,12 @@ class Plan:
     capacity: int
     unit: int
     configurations: list[tuple[dict[int, int], int]] = field(default_factory=list)
-    #: Share of the size of the items (but those of the last, partial unit) that the program's configurations hold.
+    #: Share of the size of the large items (but those of the last, partial unit) that the program's configurations hold.
     program_share: float = 0.0
     #: Greatest certified gap of a solve: its containers over its lower bound, less 1.
     gap: float = 0.0
+    #: No plan has fewer containers: the items' size, and the items of more than half a container.
+    least: int = 0
 
     @property
     def containers(self) -> int:
@@ -194,52 +206,52 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
         left[min(-(-length // unit), units + 1)] += n
     if left[units + 1]:
         plan.configurations.append(({units + 1: 1}, int(left[units + 1])))
+    plan.least = max(-(-sum(length * n for length, n in histogram.items()) // capacity), sum(n for length, n in histogram.items() if 2 * length > capacity))
     left = left[: units + 1]
     found: list[tuple[dict[int, int], int]] = []
-    whole = int(left @ np.arange(units + 1))
-    # a basic solution rounded down loses less than a container per group; what is lost is solved again in wider groups
+    size = np.arange(units + 1)
+    large = size * SMALL >= units
+    whole, fluid = int((left * size)[large].sum()), int((left * size)[~large].sum())
+    # a basic solution rounded down loses less than a container per group; what is lost is solved again
     while True:
-        groups = _grouped(left, units)
-        if len(groups) < LEAST:
+        groups = _grouped(left * large, units)
+        if not groups:
             break
-        mix, bound = solve(np.array([g[-1] for g in groups]), np.array([left[g].sum() for g in groups]), units)
+        stock = np.array([left[g].sum() for g in groups])
+        mean = np.array([-(-int(g @ left[g]) // int(n)) for g, n in zip(groups, stock)])
+        mix, bound = solve(mean, stock, units, fluid)
         plan.gap = max(plan.gap, sum(amount for _, amount in mix) / bound - 1)
         before = len(found)
         for copies, amount in sorted(mix, key=lambda x: -x[1]):
-            _use(found, left, groups, copies, int(amount + 1e-6))
+            n = int(amount + 1e-6)
+            fluid = max(0, fluid - n * int(copies[len(groups) :].sum()))
+            _use(found, left, groups, copies[: len(groups)], n)
         if len(found) == before:
             break
-    plan.program_share = 1 - int(left @ np.arange(units + 1)) / whole if whole else 0.0
-    _fill(found, left, units)
-    while left.any():  # largest first; each configuration uses up one of its classes, save less than one copy set
-        copies, room = {}, units
-        while (fits := np.flatnonzero(left[: room + 1])).size:
-            k = int(fits[-1])
-            if k in copies:
-                fits = fits[: np.searchsorted(fits, min(copies))]
-                if not fits.size:
-                    break
-                k = int(fits[-1])
-            copies[k] = min(int(left[k]), room // k)
-            room -= copies[k] * k
-        n = min(int(left[k]) // c for k, c in copies.items())
-        for k, c in copies.items():
-            left[k] -= c * n
-        found.append((copies, n))
-    plan.configurations += found
+    # a container's smallest item is given back, to be chosen by best fit in the room that there really is
+    for copies, n in found:
+        first = True
+        while sum(copies.values()) > 1 and (first or sum(k * c for k, c in copies.items()) > units):
+            k, first = min(copies), False
+            left[k] += n
+            copies[k] -= 1
+            if not copies[k]:
+                del copies[k]
+    plan.program_share = 1 - int((left * size)[large].sum()) / whole if whole else 0.0
+    plan.configurations += _best_fit(found, left, units)
     return plan
 
 
 def _grouped(left: np.ndarray, units: int) -> list[np.ndarray]:
-    """Ascending classes of the program in groups of about equal size, one and a half containers or more each; a group counts as its largest class."""
+    """Ascending classes in at most CLASSES groups of about equal size, one and a half containers or more each."""
     large = np.flatnonzero(left)
-    large = large[large * SMALL >= units]
+    if not len(large):
+        return []
     passed = np.cumsum(large * left[large])
-    most = min(CLASSES, int(passed[-1]) * 2 // (3 * units)) if len(large) else 0
+    most = min(CLASSES, int(passed[-1]) * 2 // (3 * units))
     if len(large) <= most:
         return [large[i : i + 1] for i in range(len(large))]
-    group = (passed - 1) * most // passed[-1] if most else passed[:0]
-    return np.split(large, np.flatnonzero(np.diff(group)) + 1) if most else []
+    return np.split(large, np.flatnonzero(np.diff((passed - 1) * most // passed[-1])) + 1) if most else []
 
 
 def _use(found: list[tuple[dict[int, int], int]], left: np.ndarray, groups: list[np.ndarray], copies: np.ndarray, n: int) -> None:
@@ -272,23 +284,46 @@ def _use(found: list[tuple[dict[int, int], int]], left: np.ndarray, groups: list
         n -= some
 
 
-def _fill(found: list[tuple[dict[int, int], int]], left: np.ndarray, units: int) -> None:
-    """Put remaining items into the free room of the configurations, splitting one where items run out."""
-    queue, found[:] = list(found), []
-    while queue:
-        copies, n = queue.pop()
-        copies, room = dict(copies), units - sum(k * c for k, c in copies.items())
-        while room > 0 and (fits := np.flatnonzero(left[: room + 1])).size:
-            k = int(fits[-1])
-            each = min(room // k, int(left[k]) // n)
-            if not each:
-                some = int(left[k])
-                queue.append((dict(copies), n - some))
-                n, each = some, 1
-            left[k] -= each * n
-            copies[k] = copies.get(k, 0) + each
-            room -= each * k
-        found.append((copies, n))
+def _best_fit(found: list[tuple[dict[int, int], int]], left: np.ndarray, units: int) -> list[tuple[dict[int, int], int]]:
+    """The configurations with all remaining items, largest first, each where it leaves least room; new ones where it fits nowhere.
+
+    Equal containers take an item each at once, and of an item that is tiny against the room, many.
+    """
+    by_room: dict[int, list[tuple[dict[int, int], int]]] = {}
+    rooms: list[int] = []
+
+    def put(copies: dict[int, int], n: int) -> None:
+        room = units - sum(k * c for k, c in copies.items())
+        if room not in by_room:
+            by_room[room] = []
+            bisect.insort(rooms, room)
+        by_room[room].append((copies, n))
+
+    for copies, n in found:
+        put(copies, n)
+    for k in np.flatnonzero(left)[::-1].tolist():
+        m = int(left[k])
+        while m:
+            at = bisect.bisect_left(rooms, k)
+            if at == len(rooms):
+                each = units // k
+                if m >= each:
+                    put({k: each}, m // each)
+                if m % each:
+                    put({k: m % each}, 1)
+                break
+            room = rooms[at]
+            copies, n = by_room[room].pop()
+            if not by_room[room]:
+                del by_room[room], rooms[at]
+            some = min(n, m)
+            each = max(1, min(room // k // 4, m // some))
+            if some < n:
+                put(copies, n - some)
+            put({**copies, k: copies.get(k, 0) + each}, some)
+            m -= each * some
+        left[k] = 0
+    return [entry for entries in by_room.values() for entry in entries]
 
 
 def pack(sizes: DataFrame, item: str, size: str, capacity: int, shard_rows: int = 200_000) -> tuple[DataFrame, Plan]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,19 +105,21 @@ def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return tokens.with_tokens(table(spark, folder, "documents", spread=True).select("doc_id", *columns, "text"))
 
 
-def _packed(spark: SparkSession, folder: str) -> DataFrame:
+def _plans(spark: SparkSession, folder: str) -> list[tuple[str, int, DataFrame, packing.Plan]]:
+    """Per spec its pieces in their containers, and the plan."""
     sizes = cut(_sizes(spark, folder))
-    packed = None
-    for spec in table(spark, folder, "container_specs").orderBy("spec_id").collect():  # a fixed table of a few rows
-        rows, _ = packing.pack(sizes, "doc_id", "tokens", spec["capacity_tokens"])
-        rows = rows.select(F.lit(spec["spec_id"]).alias("spec_id"), "*")
-        packed = rows if packed is None else packed.unionByName(rows)
-    return packed
+    specs = table(spark, folder, "container_specs").orderBy("spec_id").collect()  # a fixed table of a few rows
+    return [(s["spec_id"], s["capacity_tokens"], *packing.pack(sizes, "doc_id", "tokens", s["capacity_tokens"])) for s in specs]
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [rows.select(F.lit(spec).alias("spec_id"), "*") for spec, _, rows, _ in _plans(spark, folder)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that had to be split."""
-    return _packed(spark, folder).where("n_pieces > 1").select("spec_id", "doc_id").distinct()
+    """Documents of which the packing placed a second piece."""
+    return _packed(spark, folder).where("piece_no = 2").select("spec_id", "doc_id")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +127,33 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder)
 
 
+def p8_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """Per spec the containers used, those that no packing can do without, the share filled, and what the program did."""
+    plans = _plans(spark, folder)
+    made = spark.createDataFrame([(spec, capacity, plan.least, plan.program_share, plan.gap) for spec, capacity, _, plan in plans], "spec_id string, capacity_tokens long, least_mixed long, program_share double, program_gap double")
+    rows = reduce(DataFrame.unionByName, [rows.select(F.lit(spec).alias("spec_id"), "container", "piece_size") for spec, _, rows, _ in plans]).where("container is not null")
+    used = rows.groupBy("spec_id", "container").agg(F.sum("piece_size").alias("size")).groupBy("spec_id").agg(F.count("*").alias("n_containers"), F.count_if(F.col("container").startswith("mix-")).alias("n_mixed"), F.sum("size").alias("tokens"))
+    return used.join(F.broadcast(made), "spec_id").withColumn("fill", F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+
+
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per spec the documents placed, and what must not be: containers too full, sizes that do not add up, splits without need."""
+    sizes = cut(_sizes(spark, folder))
+    found = []
+    for spec in table(spark, folder, "container_specs").orderBy("spec_id").collect():
+        capacity = spec["capacity_tokens"]
+        rows = cut(packing.pack(sizes, "doc_id", "tokens", capacity)[0])
+        full = rows.groupBy("container").agg(F.sum("piece_size").alias("size")).where(F.col("container").isNotNull() & (F.col("size") > capacity)).agg(F.count("*").alias("n_overfull"))
+        pieces = rows.groupBy("doc_id").agg(F.sum("piece_size").alias("size"), F.count("*").alias("pieces"))
+        sums = sizes.join(pieces, "doc_id", "left").agg(
+            F.count("pieces").alias("n_documents"),
+            F.count_if(~F.col("tokens").eqNullSafe(F.col("size"))).alias("n_not_whole"),
+            F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("n_needless"),
+        )
+        found.append(sums.join(F.broadcast(full)).select(F.lit(spec["spec_id"]).alias("spec_id"), F.lit(capacity).cast("long").alias("capacity_tokens"), "*"))  # one row each
+    return reduce(DataFrame.unionByName, found)
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     targets = [(r["mix_id"], r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, folder, "mix_targets").orderBy("mix_id", "source").collect()]  # fixed, a few rows
     return mixing.mix(_sizes(spark, folder, "source"), "doc_id", "source", "tokens", targets)
@@ -144,7 +174,23 @@ def p9_uses(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[0]
 
 
-QUERIES = {f.__name__: f for f in (p1_daily_distincts, p1_window_distincts, p4_found, p4_latency_percentiles, p4_latency_digests, p6_found, p6_patterns, p8_found, p8_containers, p9_found, p9_shares, p9_uses)}
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target whether uses keep to their cap, a short source is used up, and another one comes within its bound of the target."""
+    uses, shares = _mix(spark, folder)
+    most = uses.groupBy("mix_id", "source").agg(F.max("uses").alias("uses"), F.max("tokens").alias("longest"))
+    off = F.when(F.col("is_short"), F.col("tokens_used") - F.col("tokens_available") * F.col("max_repeats")).otherwise(F.col("tokens_off"))
+    # the tables are a shard a source: a block or two by the apportionment's rounding, and a document on the quota's edge
+    bound = F.when(F.col("is_short"), F.lit(0)).otherwise(2 * F.col("block_tokens") + F.coalesce("longest", F.lit(0)))
+    return shares.join(F.broadcast(most), ["mix_id", "source"], "left").select("mix_id", "source", F.col("max_repeats").cast("long").alias("max_repeats"), (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("keeps_cap"), (F.abs(off) <= bound).alias("meets_target"))
+
+
+def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per agent, model and percentile whether the digest's certified rank error is within its bound."""
+    rows = p4_latency_digests(spark, folder)
+    return rows.select("agent_name", "model", F.round("p", 2).alias("p"), "n", (F.col("rank_error") <= digests.error_bound(F.col("p"), F.col("n"))).alias("within_bound"))
+
+
+QUERIES = {f.__name__: f for f in (p1_daily_distincts, p1_window_distincts, p4_found, p4_latency_percentiles, p4_latency_digests, p4_checks, p6_found, p6_patterns, p8_found, p8_containers, p8_plans, p8_checks, p9_found, p9_shares, p9_uses, p9_checks)}
 
 KEY = "lower(replace(trim(event_id, ' ' || chr(9) || chr(10) || chr(13)), '-', ''))"
 
@@ -187,6 +233,9 @@ SELECT a.agent_name, a.model FROM a JOIN b ON a.model = b.model WHERE a.v > 3 *
     "p4_latency_percentiles": _CALLS
     + ", ".join(["", *[f"q{i} AS (SELECT agent_name, model, CAST({p} AS DOUBLE) AS p, count(*) AS n, round(quantile_cont(latency_ms, {p}), 6) AS latency_ms FROM m GROUP BY agent_name, model)" for i, p in enumerate(PROBABILITIES)]])
     + " UNION ALL ".join(f" SELECT * FROM q{i}" for i in range(len(PROBABILITIES))),
+    "p4_checks": _CALLS + ", ".join(["", *[f"q{i} AS (SELECT agent_name, model, CAST({p} AS DOUBLE) AS p, count(*) AS n, TRUE AS within_bound FROM m GROUP BY agent_name, model)" for i, p in enumerate(PROBABILITIES)]]) + " UNION ALL ".join(f" SELECT * FROM q{i}" for i in range(len(PROBABILITIES))),
+    "p8_checks": "SELECT spec_id, CAST(capacity_tokens AS BIGINT) AS capacity_tokens, (SELECT count(*) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_not_whole, CAST(0 AS BIGINT) AS n_needless FROM container_specs",
+    "p9_checks": "SELECT mix_id, source, CAST(max_repeats AS BIGINT) AS max_repeats, TRUE AS keeps_cap, TRUE AS meets_target FROM mix_targets",
     "p6_found": _STEPS + f"SELECT item_1, item_2, item_3 FROM three_n, n WHERE runs * {SUPPORT[1]} >= n.n * {SUPPORT[0]}",
     "p6_patterns": _STEPS + f"SELECT x.* FROM (SELECT * FROM one_n UNION ALL SELECT * FROM two_n UNION ALL SELECT * FROM three_n) x, n WHERE runs * {SUPPORT[1]} >= n.n * {SUPPORT[0]}",
 }

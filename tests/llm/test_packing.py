@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import random
 from collections import defaultdict
 
@@ -48,17 +49,48 @@ def test_plans_leave_little_space():
         assert lengths.sum() / (plan.containers * capacity) > 0.985
 
 
-def test_the_program_converges_and_places_nearly_everything():
+@pytest.mark.parametrize("fluid", [0, 1000])
+def test_the_program_converges(fluid):
     rng = np.random.default_rng(2)
-    classes = np.arange(64, 1100, 7)
+    classes = np.arange(256, 1100, 7)
     counts = rng.integers(1, 60, len(classes))
-    mix, bound = solve(classes, counts, UNITS)
+    mix, bound = solve(classes, counts, 2048, fluid)
     cover = sum(copies * amount for copies, amount in mix)
-    assert (cover >= counts * (1 - 1e-6)).all() and all((copies * classes).sum() <= UNITS for copies, _ in mix)
-    assert (classes * counts).sum() / UNITS <= bound * (1 + 1e-9) and sum(amount for _, amount in mix) <= bound * (1 + GAP)
-    lengths = np.minimum(np.exp(rng.normal(6.0, 0.8, 8_000)).astype(int) + 1, 4096)
-    plan = plan_containers(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))), 4096)
-    assert plan.program_share > 0.9 and plan.gap <= GAP
+    assert (cover >= np.r_[counts, [fluid] * (fluid > 0)] * (1 - 1e-6)).all() and all((copies[: len(classes)] * classes).sum() + copies[len(classes) :].sum() <= 2048 for copies, _ in mix)
+    assert ((classes * counts).sum() + fluid) / 2048 <= bound * (1 + 1e-9) and sum(amount for _, amount in mix) <= bound * (1 + GAP)
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        n += room == capacity
+        if room > length:
+            bisect.insort(rooms, room - length)
+    return n
+
+
+def shapes():
+    rng = np.random.default_rng(1)
+    return {
+        "lognormal": (np.minimum(np.exp(rng.normal(6.5, 1.0, 20_000)).astype(int) + 1, 4096), 4096, 1.001),
+        "long lognormal": (np.minimum(np.exp(rng.normal(8.0, 1.2, 8_000)).astype(int) + 1, 32768), 32768, 1.001),
+        "uniform": (rng.integers(1, 1001, 10_000), 1000, 1.002),
+        "halves": (rng.integers(300, 800, 10_000), 1000, 1.0),
+        "two sizes": (np.r_[rng.integers(50, 150, 9_000), rng.integers(550, 700, 3_000)], 1000, 1.0),
+        "three lengths": (rng.choice([257, 342, 513], 20_000), 1024, 1.0),
+        "four lengths": (rng.choice([3, 4, 5, 6], 20_000), 10, 0.9995),
+    }
+
+
+@pytest.mark.parametrize("name", shapes())
+def test_the_program_places_most_and_uses_no_more_than_best_fit(name):
+    """Within the stated factor of best fit decreasing (less than 1 where the program beats it), and by the program's configurations."""
+    lengths, capacity, factor = shapes()[name]
+    plan = plan_containers(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))), capacity)
+    assert plan.least <= plan.containers <= best_fit_decreasing(lengths.tolist(), capacity) * factor + 1
+    assert plan.program_share > 0.55 and plan.gap <= GAP
 
 
 def check(got, rows, capacity):
