@@ -40,8 +40,13 @@ CLASSES = 600
 #: Step of the weights of the class that a round covers most, and rounds of the weights per class.
 STEP = 0.25
 ROUNDS = 1
+#: Pivots behind which the basis is inverted anew.
+REFRESH = 200
 #: Configurations that pivots choose from before all are priced again.
 FEW = 30
+#: Pivots per class without a container saved, and configurations per class priced behind the weights' rounds, before a solve stops short of GAP.
+STALLED = 2
+PRICED = 2
 #: The program is solved until its containers are certified to be within this share of its lower bound.
 GAP = 0.0005
 
@@ -85,8 +90,9 @@ class _Basis:
     """A basic solution of the covering program over the configurations known so far, made better by pivots."""
 
     def __init__(self, classes: np.ndarray, demand: np.ndarray, units: int):
-        # a configuration of its own for every class
-        self.demand, self.m = demand.astype(float), len(classes)
+        # a configuration of its own for every class; demands that differ in far digits keep pivots from going in circles
+        self.m = len(classes)
+        self.demand = demand * (1 + 1e-7 * (np.arange(1, self.m + 1) * 0.6180339887 % 1))
         self.columns = np.diag(units // classes).astype(float)
         self.cost = np.ones(self.m)
         self.inverse = np.diag(1.0 / np.diag(self.columns))
@@ -98,8 +104,10 @@ class _Basis:
 
     def improve(self, known: np.ndarray) -> None:
         """Pivot until none of the ``known`` configurations, nor less of a class that is covered twice, saves a container."""
-        some = known[:0]
-        for _ in range(50 * self.m + 10 * len(known)):
+        some, lowest, idle = known[:0], np.inf, 0
+        while idle < STALLED * self.m:
+            total = float(self.cost @ self.amount)
+            lowest, idle = (total, 0) if total < lowest * (1 - 1e-9) else (lowest, idle + 1)
             y = self.prices()
             if not len(some) or (some @ y).max() < 1 + 1e-7:  # all are priced again only when the best few are used up
                 saved = known @ y
@@ -116,14 +124,27 @@ class _Basis:
                 return
             self.columns[:, out], self.cost[out] = column, cost
             self.pivots += 1
-            if self.pivots % 100 == 0:
-                self.inverse = np.linalg.inv(self.columns)
-            else:
-                row = self.inverse[out] / move[out]
-                self.inverse -= np.outer(move, row)
-                self.inverse[out] = row
+            self._exchange(out, move)
+            if self.pivots % REFRESH == 0:
+                self._refresh()
             self.amount = np.maximum(self.inverse @ self.demand, 0.0)
 
+    def _exchange(self, out: int, move: np.ndarray) -> None:
+        row = self.inverse[out] / move[out]
+        self.inverse -= np.outer(move, row)
+        self.inverse[out] = row
+
+    def _refresh(self) -> None:
+        """The inverse anew, by exchanging the unit columns for the basis' own, so that rounding does not add up."""
+        columns, self.inverse, open_ = self.columns, np.eye(self.m), np.ones(self.m, bool)
+        order = np.zeros(self.m, int)
+        for i in range(self.m):
+            move = self.inverse @ columns[:, i]
+            out = int((np.abs(move) * open_).argmax())
+            self._exchange(out, move)
+            open_[out], order[i] = False, out
+        self.inverse = self.inverse[order]
+
 
 def solve(classes: np.ndarray, counts: np.ndarray, units: int, fluid: float = 0.0) -> tuple[list[tuple[np.ndarray, float]], float]:
     """Fractional (copies, containers) that cover the counts and ``fluid`` units of anything, and a lower bound of the containers.
@@ -155,7 +176,7 @@ def solve(classes: np.ndarray, counts: np.ndarray, units: int, fluid: float = 0.
         gained = copies / demand
         weights = weights * np.exp(-STEP * gained / gained[hit].max())
         weights /= weights.max()
-    while True:
+    for _ in range(PRICED * len(sizes) + 20):
         before = len(known)
         basis.improve(np.array(list(known.values()), float))
         priced(np.maximum(basis.prices(), 1e-12))
