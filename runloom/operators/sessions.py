@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom.session import cut
+
 
 def sessions(df: DataFrame, entity: str, time: str, gap_ms: int = 30 * 60 * 1000, tile_ms: int = 6 * 60 * 60 * 1000) -> DataFrame:
     """``(entity, start_ms, end_ms, duration_ms, n_events)``, one row per session.
@@ -41,7 +43,8 @@ def sessions(df: DataFrame, entity: str, time: str, gap_ms: int = 30 * 60 * 1000
     )
     opens = F.col("earlier").isNull() | (F.col("t") - F.col("earlier") > gap_ms)
     closes = F.col("later").isNull() | (F.col("later") - F.col("t") > gap_ms)
-    edges = (
+    # few of the events; tiles, starts and ends are taken from them, so that the frames run once
+    edges = cut(
         frames.select("e", "tile", "t", "n", "rank", opens.alias("opens"), closes.alias("closes"))
         .where("opens or closes")
         .withColumn("open_no", F.sum(F.col("opens").cast("long")).over(forward.rowsBetween(Window.unboundedPreceding, 0)))
