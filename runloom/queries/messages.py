@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from runloom.functions.ids import one_per_message
 from runloom.operators import features, messages, rolling, sessions
+from runloom.schema import EVENT_TYPES
 from runloom.sources.tables import table
 
+# The event types of the tables, the closed seven and those of the SDK's extensions, each a subject and an action
+SUBJECTS = ["budget", "cache", "claim", "consent", "draft", "export", "goal", "guard", "handoff", "memory", "plan", "prompt", "quota", "replay", "review", "route", "skill", "thread", "vote", "widget"]
+ACTIONS = ["closed", "copied", "dropped", "expired", "flagged", "merged", "opened", "paused", "pinned", "queued", "renamed", "resumed", "revised", "scored", "shared", "split"]
+TYPES = [*EVENT_TYPES, *[f"{subject}.{action}" for subject in SUBJECTS for action in ACTIONS]]
+
 FEATURE_COLUMNS = ["user_id", "event_type", "timestamp", "cost_usd"]
 WINDOWS = (7, 30)
 
@@ -36,13 +42,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_user_features(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per user with count, latest time and cost of every event type of both event tables."""
+    """One row per user with count, latest time and cost of every event type of both event tables; types not in TYPES are ``other``."""
     tables = [table(spark, folder, name) for name in ("agent_events", "extension_events")]
-    # the list of types is the same before and after dropping redeliveries
-    types = features.event_types(tables[0].select("event_type").unionByName(tables[1].select("event_type")), "event_type")
     once = [one_per_message(t, FEATURE_COLUMNS) for t in tables]
-    rows = features.feature_table(once[0].unionByName(once[1]), "user_id", "event_type", "timestamp", "cost_usd", types)
-    return rows.withColumnRenamed("entity", "user_id").drop("other_n", "other_last", "other_total")
+    rows = features.feature_table(once[0].unionByName(once[1]), "user_id", "event_type", "timestamp", "cost_usd", TYPES)
+    totals = {f"{name}_total": F.col(f"`{name}_total`").cast("decimal(18,6)") for name in [*TYPES, features.REST]}
+    return rows.withColumns(totals).withColumnRenamed("entity", "user_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,8 +56,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """The first delivered copy of every message, all columns."""
-    return messages.deduplicate(table(spark, folder, "agent_events"))
+    """The first delivered copy of every message, all columns: all rows but those that the store finds redelivered."""
+    return messages.first_copies(table(spark, folder, "agent_events"))
 
 
 def _sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +101,10 @@ def _window_sql(w: int) -> str:
     )
 
 
+def _slot_sql(name: str, where: str) -> str:
+    return f'count(*) FILTER ({where}) AS "{name}_n", max(timestamp) FILTER ({where}) AS "{name}_last", CAST(sum(cost_usd) FILTER ({where}) AS DECIMAL(18,6)) AS "{name}_total"'
+
+
 _SESSIONS = f"""
 WITH m AS ({once_sql("agent_events", "user_id, timestamp")}),
 s AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM m),
@@ -109,7 +118,8 @@ SQL = {
     "p3_user_features": f"""
 WITH m AS (SELECT user_id, event_type, timestamp, cost_usd FROM ({once_sql("agent_events")})
   UNION ALL SELECT user_id, event_type, timestamp, cost_usd FROM ({once_sql("extension_events")}))
-PIVOT m ON event_type USING count(*) AS n, max(timestamp) AS last, sum(cost_usd) AS total GROUP BY user_id""",
+SELECT user_id, {", ".join(_slot_sql(name, f"event_type = '{name}'") for name in TYPES)},
+  {_slot_sql(features.REST, "event_type IS NULL OR event_type NOT IN (" + ", ".join(f"'{name}'" for name in TYPES) + ")")} FROM m WHERE user_id IS NOT NULL GROUP BY user_id""",
     "p5_found": f"SELECT delivery_seq FROM agent_events QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY delivery_seq) > 1",
     "p5_messages": once_sql("agent_events"),
     "p7_found": _SESSIONS + "SELECT user_id, start_ms FROM x",
