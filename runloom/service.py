@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from dataclasses import asdict, replace
+from datetime import datetime
+from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 from urllib.parse import parse_qs, urlparse
@@ -17,16 +19,39 @@ from runloom.operators import explorer
 from runloom.plans.compiler import compile_plan, to_rows
 from runloom.plans.model import parse_instant
 from runloom.plans.planner import ModelPlanner, Rejected, plan_question
+from runloom.streaming import wire
 from runloom.streaming.ingest import Backpressure, Ingestor, Landing
 from runloom.streaming.payloads import hydrate
-from runloom.streaming.wire import validate
 
 DEFAULT_PROJECT = "proj_dev"
 Answer = tuple[int, Any]
 
 
+#: Traces on a page, and rows of an answer, at most.
+MAX_PAGE = 500
+MAX_ROWS = 10_000
+
+
+def _camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(w.capitalize() for w in rest)
+
+
+def _wire(value: Any) -> Any:
+    if isinstance(value, datetime):
+        return value.isoformat(timespec="milliseconds") + "Z"
+    return float(value) if isinstance(value, Decimal) else value
+
+
 def _json(frame: DataFrame) -> list[dict]:
-    return [json.loads(line) for line in frame.toJSON().collect()]
+    """Rows in the form of the wire: camel case, ISO times, numbers, metadata as an object. For bounded frames: a page, a trace."""
+    rows = []
+    for row in frame.collect():
+        out = {_camel(k): _wire(v) for k, v in row.asDict().items()}
+        if "metadata" in out:
+            out["metadata"] = json.loads(out["metadata"] or "{}")
+        rows.append(out)
+    return rows
 
 
 class Service:
@@ -34,27 +59,20 @@ class Service:
 
     def __init__(self, spark: SparkSession, ingestor: Ingestor, landing: Landing, keys: dict[str, str], model: ModelPlanner | None = None, project: str = DEFAULT_PROJECT):
         self.spark, self.ingestor, self.landing, self.keys, self.model, self.project = spark, ingestor, landing, keys, model, project
-        self.backlog = lambda: 0
 
     def capture(self, key: str | None, body: Any) -> Answer:
-        """202 with counts and the rejected events; valid ones are queued."""
+        """202 with counts and the rejected events; valid ones are queued. No job runs."""
         project = self.keys.get(key or "")
         if project is None:
             return 401, {"error": "unknown API key"}
         events = body.get("events") if isinstance(body, dict) else None
         if not isinstance(events, list):
             return 400, {"error": "events must be a list"}
-        bodies = [json.dumps(e) for e in events]
+        problems = [wire.check(e) for e in events]
+        bad = [{"eventId": (e.get("eventId") if isinstance(e, dict) else None) or f"index:{i}", "status": "rejected", "error": "; ".join(p)} for i, (e, p) in enumerate(zip(events, problems)) if p]
+        good = [json.dumps(e) for e, p in zip(events, problems) if not p]
         try:
-            if self.backlog() >= self.landing.max_depth:
-                raise Backpressure
-            frame = validate(self.spark.createDataFrame(list(enumerate(bodies)), "position long, body string"))
-            results = frame.where("size(problems) > 0").selectExpr("position", "array_join(problems, '; ') as error").collect()
-            wrong = {r["position"]: r["error"] for r in results}
-            bad = [{"eventId": (events[i].get("eventId") if isinstance(events[i], dict) else None) or f"index:{i}", "status": "rejected", "error": wrong[i]} for i in sorted(wrong)]
-            good = [b for i, b in enumerate(bodies) if i not in wrong]
-            if good:
-                self.landing.put(project, good, self.backlog())
+            self.landing.put(project, good)
         except Backpressure:
             return 429, {"error": "too many events wait", "retryAfter": 1}
         return 202, {"accepted": len(good), "duplicates": 0, "rejected": len(bad), "results": bad}
@@ -71,13 +89,23 @@ class Service:
         answer = plan_question(body["q"], window=window, model=self.model)
         if isinstance(answer, Rejected):
             return 400, {"ok": False, "reason": answer.reason, "supported": list(answer.supported)}
-        compiled = compile_plan(self.ingestor.store.source(), answer.plan, self.project, body.get("limit"))
-        return 200, {"ok": True, "source": answer.origin, "result": {"columns": [asdict(c) for c in compiled.columns], "rows": to_rows(compiled), "chartHint": compiled.chart}}
+        limit = body.get("limit")
+        if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
+            return 400, {"error": "limit must be a positive whole number"}
+        compiled = compile_plan(self.ingestor.store.source(), answer.plan, self.project, limit)
+        rows = to_rows(replace(compiled, frame=compiled.frame.limit(MAX_ROWS + 1)))
+        return 200, {"ok": True, "source": answer.origin, "result": {"columns": [asdict(c) for c in compiled.columns], "rows": rows[:MAX_ROWS], "truncated": len(rows) > MAX_ROWS, "chartHint": compiled.chart}}
 
     def traces(self, params: dict[str, str]) -> Answer:
-        when = {k: parse_instant(params[k]) if k in params else None for k in ("from", "to")}
+        try:
+            when = {k: parse_instant(params[k]) if k in params else None for k in ("from", "to")}
+            limit, offset = int(params.get("limit", 50)), int(params.get("offset", 0))
+        except (TypeError, ValueError):
+            return 400, {"error": "from and to must be instants, limit and offset whole numbers"}
+        if not 1 <= limit <= MAX_PAGE or offset < 0:
+            return 400, {"error": f"limit must lie within 1 and {MAX_PAGE}, and offset not be negative"}
         wanted = explorer.TraceFilter(when["from"], when["to"], *(params.get(k) for k in ("agentName", "status", "model", "toolName", "userId")))
-        return 200, _json(explorer.list_traces(self.ingestor.store.source(), self.project, wanted, int(params.get("limit", 50)), int(params.get("offset", 0))))
+        return 200, _json(explorer.list_traces(self.ingestor.store.source(), self.project, wanted, limit, offset))
 
     def trace(self, trace_id: str) -> Answer:
         detail = explorer.trace_detail(self.ingestor.store.source(), self.project, trace_id)

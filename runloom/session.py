@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a checkpoint goes when nothing refers to it any more; else every query would leave its intermediate tables behind
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -64,6 +67,39 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/runloom-{label}-{uuid.uuid4().hex}"
 
 
+class Files:
+    """A folder on whatever file system its path names: through Hadoop with a session, else as a local or mounted one."""
+
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self._jvm = path.rstrip("/"), None
+        if spark is None:
+            os.makedirs(self.path, exist_ok=True)
+            return
+        self._jvm = spark.sparkContext._jvm
+        self._folder = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._folder)
+
+    def put(self, name: str, text: str) -> None:
+        """A file that is seen only when it is complete."""
+        if self._jvm is None:
+            hidden = os.path.join(self.path, f".{name}")
+            with open(hidden, "w", encoding="utf-8") as out:
+                out.write(text)
+            os.rename(hidden, os.path.join(self.path, name))
+            return
+        at = lambda n: self._jvm.org.apache.hadoop.fs.Path(self._folder, n)
+        out = self._fs.create(at(f".{name}"), True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        self._fs.rename(at(f".{name}"), at(name))
+
+    def names(self) -> list[str]:
+        """The complete files."""
+        found = os.listdir(self.path) if self._jvm is None else [f.getPath().getName() for f in self._fs.listStatus(self._folder)]
+        return [n for n in found if not n.startswith(".")]
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete ``path`` through the Hadoop file system it belongs to."""
     jvm = spark.sparkContext._jvm

@@ -30,10 +30,15 @@ def strip(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("metadata", F.when(carries, marked).otherwise(F.col("metadata"))).drop("input", "output"), payloads
 
 
+def _entries(column: str) -> Column:
+    """The JSON object's own entries by key, each value as it is, whatever lies within."""
+    return F.try_parse_json(column).cast("map<string, variant>")
+
+
 def _without(column: str) -> Column:
-    """The JSON object without a reference at its top."""
-    entry = f'"{REFERENCE}"\\s*:\\s*"[^"]*"'
-    return F.regexp_replace(column, f"{entry}\\s*,\\s*|,?\\s*{entry}", "")
+    """The JSON object without a reference at its top; what lies deeper, and text that is no object, stays."""
+    kept = F.map_filter(_entries(column), lambda key, _: key != REFERENCE)
+    return F.when(F.get_json_object(column, f"$.{REFERENCE}").isNull(), F.col(column)).otherwise(F.coalesce(F.to_json(kept), F.col(column)))
 
 
 def _put(column: str, entry: Column) -> Column:

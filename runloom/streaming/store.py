@@ -3,7 +3,8 @@
 Layout: ``events/event_date=.../batch=.../part-*``, sorted within files by project, event type and time
 so that row groups skip, with bloom filters on trace and run ids. A batch writes only its own
 directories and overwrites them when it is repeated, so a crash between write and acknowledgement
-leaves no second copy. Only the dates that a batch touches are looked up for duplicates.
+leaves no second copy. Duplicates are looked up by identifier over all dates: the stored identifiers are
+scanned alone and meet the batch's, which are broadcast up to SMALL_BATCH of them; nothing stored moves.
 """
 
 from __future__ import annotations
@@ -16,11 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.ids import uuid_key
-from runloom.operators.messages import deduplicate
+from runloom.operators.messages import KEY, deduplicate
 from runloom.schema import EVENTS
 from runloom.session import cut
 from runloom.sources.events import EventSource
 
+#: Rows of a date in one file, about; a larger date is written by as many tasks.
+FILE_ROWS = 2_000_000
+#: Messages of a batch up to which their keys (16 bytes, or as long as an identifier that is no UUID) are broadcast.
+SMALL_BATCH = 1_000_000
+
 STORED = T.StructType([*EVENTS.fields, T.StructField("event_date", T.DateType()), T.StructField("batch", T.StringType())])
 
 
@@ -45,11 +51,15 @@ class EventStore:
         return EventSource(self.read(), order_column=None)
 
     def _write(self, rows: DataFrame, batch: str, mode: str) -> None:
+        dated = rows.select(*[f.name for f in EVENTS]).withColumns({"event_date": F.to_date("timestamp"), "batch": F.lit(batch)})
+        # one row per date of the batch: into how many files it goes
+        files = dated.groupBy("event_date").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("files"))
+        # runs stay together, but for the far steps of an endless one
+        part = F.pmod(F.xxhash64("run_id", F.floor(F.col("step_index") / 10_000)), F.col("files"))
         (
-            rows.select(*[f.name for f in EVENTS])
-            .withColumns({"event_date": F.to_date("timestamp"), "batch": F.lit(batch)})
-            # one file per date, not one per date and task; dates with many rows are split by project and run
-            .repartition("event_date", F.pmod(F.xxhash64("run_id"), F.lit(8)))
+            dated.join(F.broadcast(files), "event_date")
+            .repartition("event_date", part)
+            .drop("files")
             .sortWithinPartitions("event_date", "project_id", "event_type", "timestamp")
             .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
@@ -60,16 +70,17 @@ class EventStore:
         )
 
     def append(self, rows: DataFrame, batch: str, order_column: str) -> Appended:
-        """Add the messages that are not stored yet; the first of a batch by ``order_column`` wins.
+        """Add the messages that are not stored yet, on whatever date; the first of a batch by ``order_column`` wins.
 
-        Repeating a batch under its name changes nothing. A message is looked up on the date of its
-        timestamp, which its copies share.
+        Repeating a batch under its name changes nothing.
         """
         total = rows.count()
-        once = cut(deduplicate(rows, "event_id", order_column))
-        dates = [r[0] for r in once.select(F.to_date("timestamp")).distinct().collect()]  # days of one batch
-        stored = self.read().where(F.col("event_date").isin(dates) & (F.col("batch") != batch))
-        new = cut(once.join(stored.select(uuid_key(F.col("event_id")).alias("k")), uuid_key(F.col("event_id")) == F.col("k"), "left_anti"))
+        once = cut(deduplicate(rows, "event_id", order_column).withColumn(KEY, uuid_key(F.col("event_id"))))
+        keys = once.select(KEY)
+        if once.count() <= SMALL_BATCH:
+            keys = F.broadcast(keys)
+        stored = self.read().where(F.col("batch") != batch).select(uuid_key(F.col("event_id")).alias(KEY)).join(keys, KEY, "left_semi")
+        new = cut(once.join(stored, KEY, "left_anti").drop(KEY))
         inserted = new.count()
         if inserted:
             self._write(new, batch, "overwrite")

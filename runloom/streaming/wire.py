@@ -2,10 +2,15 @@
 
 Everything stays in the JVM: a message is parsed once as a variant, each field is taken from it once,
 each rule is a column that is null or an error text, and the rules of all event types are one table.
+``check`` reads the same table for the few events of one request, without a job.
 """
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +113,54 @@ def validate(messages: DataFrame, body: str = "body") -> DataFrame:
     return named.select(*others, "kind", "parts", F.explode(F.array(problems)).alias("problems"))
 
 
+def _is_instant(text: str) -> bool:
+    if not re.fullmatch(INSTANT[1:-1], text, re.ASCII):
+        return False
+    whole, fraction, offset = re.fullmatch(r"(.{19})(\.\d+)?(.+)", text).groups()
+    try:
+        datetime.fromisoformat(f"{whole.upper()}{(fraction or '')[:7]}{'+00:00' if offset in 'Zz' else offset}")
+    except ValueError:
+        return False
+    return True
+
+
+def _fault(base: str, value: Any) -> str | None:
+    """What a value that is there should have been, or None."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool) and value == value
+    whole = number and value == value // 1
+    text = isinstance(value, str)
+    good, what = {
+        "count": (whole and value >= 0, "a whole number of at least 0"),
+        "positive": (whole and value > 0, "a whole number of at least 1"),
+        "amount": (number and value >= 0, "a number of at least 0"),
+        "id": (text and value != "", "a non-empty text"),
+        "text": (text, "a text"),
+        "instant": (text and _is_instant(value), "an ISO-8601 instant with offset"),
+        "object": (isinstance(value, dict), "an object"),
+        **{word: (text and value in allowed, f"one of {', '.join(allowed)}") for word, allowed in WORDS.items()},
+    }[base]
+    return None if good else f"expected {what}"
+
+
+def check(event: Any) -> list[str]:
+    """The problems that ``validate`` finds in one message, in the same words; empty if it is accepted."""
+    if not isinstance(event, dict):
+        return ["body: not a JSON object"]
+    kind = event.get("eventType")
+    if kind not in EVENT_TYPES:
+        return [f"eventType: expected one of {', '.join(EVENT_TYPES)}"]
+    rules = {**ENVELOPE, **VARIANTS[kind]}
+    problems = []
+    for name in sorted(rules):
+        if name in event:
+            fault = _fault(rules[name].rstrip("?"), event[name])
+            problems += [f"{name}: {fault}"] if fault else []
+        elif not rules[name].endswith("?"):
+            problems.append(f"{name}: required")
+    unknown = sorted(set(event) - set(rules) - {"eventType"})
+    return problems + ([f"unrecognised: {', '.join(unknown)}"] if unknown else [])
+
+
 def accepted(validated: DataFrame, project: Column) -> DataFrame:
     """Stored rows of the accepted messages, with all other columns of ``validated``."""
     text, number = (lambda f: F.col(f"parts.{f}.text")), (lambda f: F.col(f"parts.{f}.number"))

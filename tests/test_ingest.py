@@ -130,7 +130,7 @@ def test_append_is_idempotent(spark, messages, tmp_path):
 
 
 def drain(ingestor, landing, checkpoint):
-    query = ingestor.start(str(landing.path), checkpoint, seconds=None, files=1)
+    query = ingestor.start(landing.path, checkpoint, seconds=None, files=1)
     query.awaitTermination()
 
 
@@ -144,8 +144,6 @@ def test_stream_end_to_end(spark, tmp_path):
     landing.put("p", map(json.dumps, [DONE]))
     drain(ingestor, landing, str(tmp_path / "ck"))
     assert ingestor.store.read().count() == 4
-    with pytest.raises(Backpressure):
-        landing.put("p", ["x"], backlog=landing.max_depth)
 
 
 def test_dead_letters_after_repeated_failure(spark, tmp_path, monkeypatch, messages):
@@ -168,7 +166,8 @@ def test_hourly_counts(spark, messages, tmp_path):
 
 
 def test_service(spark, tmp_path):
-    landing, ingestor = Landing(str(tmp_path / "in")), Ingestor(spark, str(tmp_path / "out"))
+    ingestor = Ingestor(spark, str(tmp_path / "out"))
+    landing = Landing(str(tmp_path / "in"), max_depth=5, consumed=ingestor.consumed, fresh=0)
     service = Service(spark, ingestor, landing, {"key": "proj_dev"})
 
     def call(method, path, data=None, **headers):
@@ -183,12 +182,45 @@ def test_service(spark, tmp_path):
     status, answer = call("POST", "/query", {"q": "average latency by tool on 2026-05-07"})
     assert status == 200 and answer["result"]["rows"] == [{"toolName": "x", "value": 7.0}]
     assert call("POST", "/query", {"q": " "})[0] == 400 and call("POST", "/query", {"q": "the weather"})[0] == 400
-    assert [t["trace_id"] for t in call("GET", "/traces?toolName=x&limit=5")[1]] == ["t1"]
+    (summary,) = call("GET", "/traces?toolName=x&limit=5")[1]
+    assert summary == {"traceId": "t1", "projectId": "proj_dev", "agentName": "a", "outcome": "success", "runCount": 1, "startedAt": "2026-05-07T09:00:00.123Z", "endedAt": "2026-05-07T09:00:00.123Z", "durationMs": 0, "costUsd": 0.25}
     status, detail = call("GET", "/traces/t1")
-    assert status == 200 and [e["event_id"] for e in detail["events"]] == ["e1", "e2", "e3", "e4"] and detail["events"][0]["input"] == "hello"
+    assert status == 200 and [e["eventId"] for e in detail["events"]] == ["e1", "e2", "e3", "e4"] and detail["events"][0]["input"] == "hello"
+    assert detail["events"][0]["metadata"] == {"k": [1]} and detail["events"][0]["timestamp"] == "2026-05-07T09:00:00.123Z" and detail["runs"][0]["totalTokens"] == 7
+    for wrong in ("from=yesterday", "limit=many", "limit=0", "limit=100000", "offset=-1"):
+        assert call("GET", f"/traces?{wrong}")[0] == 400, wrong
+    assert call("POST", "/query", {"q": "tokens by agent on 2026-05-07", "limit": "x"})[0] == 400
     assert call("GET", "/traces/none")[0] == 404 and call("GET", "/elsewhere")[0] == 404
-    service.backlog = lambda: landing.max_depth
+    # the four of before are consumed; more than five may not wait
+    assert landing.backlog() == 0
+    assert call("POST", "/capture", {"events": [CALL] * 5}, **{"x-api-key": "key"})[0] == 202 and landing.backlog() == 5
     assert call("POST", "/capture", {"events": [CALL]}, **{"x-api-key": "key"})[0] == 429
+    with pytest.raises(Backpressure):
+        landing.put("p", ["x"])
+    drain(ingestor, landing, str(tmp_path / "ck"))
+    assert call("POST", "/capture", {"events": [CALL]}, **{"x-api-key": "key"})[0] == 202
+
+
+def test_landing_through_hadoop(spark, tmp_path):
+    landing = Landing(f"file://{tmp_path}/in", spark=spark, consumed=f"file://{tmp_path}/done", fresh=0)
+    assert landing.put("p", ["{}"] * 120) == 120 and landing.backlog() == 120
+    assert spark.read.json(landing.path).count() == 120 and len(list((tmp_path / "in").glob("*.json"))) == 3
+
+
+def test_one_message_is_checked_as_all_are(messages):
+    bodies = GOOD + list(BAD.values())
+    got = {r.position: list(r.problems) for r in wire.validate(messages(bodies)).collect()}
+    for i, b in enumerate(bodies):
+        assert wire.check(b) == got[i], b
+
+
+def test_late_hours_are_counted_anew(spark, messages, tmp_path):
+    from runloom.streaming.ingest import touched_hours
+
+    store = EventStore(spark, str(tmp_path))
+    store.append(stored_rows(messages, [CALL, TOOL]), "b1", "position")
+    store.append(stored_rows(messages, [{**CALL, "eventId": "late"}]), "b2", "position")
+    assert [(r.event_type, str(r.hour), r.n, str(r.cost_usd)) for r in touched_hours(store, "b2").collect()] == [("llm_call", "2026-05-07 09:00:00", 2, "0.500000")]
 
 
 def recorded(answers, **options):
@@ -242,3 +274,36 @@ def test_client_retries_and_drops():
     for i in range(3):
         recorder.record({"n": i})
     assert isinstance(errors[0], OverflowError)
+
+
+def test_a_message_is_stored_once_over_all_dates(spark, messages, tmp_path, monkeypatch):
+    """The key is the identifier alone, whatever the date; large batches and large dates take other plans."""
+    store = EventStore(spark, str(tmp_path))
+    at = lambda day, **fields: stored_rows(messages, [{**CALL, "timestamp": f"2026-05-{day:02d}T11:00:00Z", **fields}])
+    first, second = store.append(at(7), "b1", "position"), store.append(at(8, eventId=" E2 "), "b2", "position")
+    # not a UUID, so letter case counts; blanks do not
+    assert (first.inserted, second.inserted) == (1, 1)
+    again = store.append(at(9, eventId=" e2"), "b3", "position")
+    assert (again.inserted, again.duplicates, store.read().count()) == (0, 1, 2)
+    monkeypatch.setattr("runloom.streaming.store.SMALL_BATCH", 0)
+    monkeypatch.setattr("runloom.streaming.store.FILE_ROWS", 2)
+    # small parts are put into one file again unless this is off
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    many = stored_rows(messages, [{**TOOL, "eventId": f"x{i}", "runId": f"r{i}"} for i in range(9)] + [{**CALL, "timestamp": "2026-05-20T11:00:00Z"}])
+    try:
+        last = store.append(many, "b4", "position")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert (last.inserted, last.duplicates) == (9, 1)
+    assert store.read().where("batch = 'b4'").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_references_deeper_in_the_metadata_stay(messages):
+    deep = {**STARTED, "metadata": {"a": {"payloadRef": "x", "n": 1.50}, "b": 1, "c": [{"payloadRef": "y"}], "t": '"payloadRef":"z"'}}
+    flat = {**DONE, "metadata": {"payloadRef": 5, "k": None}}
+    rows = wire.accepted(wire.validate(messages([deep, flat])), F.col("project_id"))
+    slim, texts = payloads.strip(rows)
+    got = {r.event_id: json.loads(r.metadata) for r in slim.collect()}
+    assert got["e1"] == {**deep["metadata"], "payloadRef": "local://e1/p/e1"} and got["e4"] == {"k": None, "payloadRef": "local://e4/p/e4"}
+    back = {r.event_id: json.loads(r.metadata) for r in payloads.hydrate(slim, texts).collect()}
+    assert back["e1"] == deep["metadata"] and back["e4"] == {"k": None}
