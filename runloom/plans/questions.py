@@ -26,12 +26,16 @@ def lookup(text: str, entries: list[tuple[tuple[str, ...], str]]) -> str | None:
     return next((value for phrases, value in entries if mentions(text, phrases)), None)
 
 
-def percentile(text: str, patterns: tuple[str, ...]) -> tuple[bool, float | None]:
-    """Whether a percentile number is written, and its share if it lies within 1 to 99."""
-    for pattern in patterns:
-        if m := re.search(pattern, text, re.ASCII):
-            n = int(m[1])
-            return True, n / 100 if 0 < n < 100 else None
+def percentile(text: str, endings: tuple[str, ...]) -> tuple[bool, float | None]:
+    """Whether a percentile of two or three digits is written, as p95 or before the word, and its share if it lies within 1 to 99."""
+    words = text.split()
+    digits = [w[1:] for w in words if w[0] == "p"]
+    for word, after in zip(words, words[1:]):
+        if after.startswith("percentile"):
+            digits += [word.removesuffix(e) for e in endings if word.endswith(e)]
+    for number in digits:
+        if number.isdecimal() and 2 <= len(number) <= 3:
+            return True, int(number) / 100 if 0 < int(number) < 100 else None
     return False, None
 
 
@@ -50,7 +54,7 @@ def propose(question: str) -> dict[str, Any] | None:
 def _latency_percentile(text: str) -> dict[str, Any] | None:
     if not mentions(text, L.LATENCY):
         return None
-    written, p = percentile(text, L.LATENCY_PERCENTILES)
+    written, p = percentile(text, L.LATENCY_PERCENTILE_ENDINGS)
     if not written:
         p = 0.5 if L.MEDIAN in text else 0.95 if "percentile" in text else None
     if p is None:
@@ -84,7 +88,7 @@ def _catalogued(text: str) -> dict[str, Any] | None:
 
 
 def _aggregate(text: str, measure: str) -> dict[str, Any]:
-    _, p = percentile(text, L.PERCENTILES)
+    _, p = percentile(text, L.PERCENTILE_ENDINGS)
     if p is None and L.MEDIAN in text:
         p = 0.5
     if p is not None:
@@ -95,7 +99,7 @@ def _aggregate(text: str, measure: str) -> dict[str, Any]:
 
 def _count(text: str) -> tuple[dict[str, Any], str | None]:
     """What is counted, and the event type it is restricted to."""
-    entity = next((field for pattern, field in L.COUNTED_ENTITIES if re.search(pattern, text)), None)
+    entity = next((field for names, field in L.COUNTED_ENTITIES if set(names) & set(text.split())), None)
     return ({"agg": "count_distinct", "field": entity} if entity else {"agg": "count"}), lookup(text, L.COUNTED_TYPES)
 
 
@@ -137,6 +141,7 @@ def _free(text: str) -> dict[str, Any] | None:
     if grain:
         plan["sort"] = {"by": "time", "dir": "asc"}
     elif category and direction:
-        size = re.search(L.RANKING_SIZE, text, re.ASCII)
-        plan |= {"sort": {"by": "metric", "dir": direction}, "limit": int(size[1]) if size else L.DEFAULT_RANKING}
+        words = text.split()
+        size = next((int(n) for opener, n in zip(words, words[1:]) if opener in L.RANKING_OPENERS and n.isdecimal()), L.DEFAULT_RANKING)
+        plan |= {"sort": {"by": "metric", "dir": direction}, "limit": size}
     return plan
