@@ -29,7 +29,7 @@ class TraceFilter:
 def list_traces(source: EventSource, project: str, wanted: TraceFilter = TraceFilter(), limit: int | None = None, offset: int = 0) -> DataFrame:
     """Trace rollups of a project, the latest started first; equal starts by trace id."""
     tenant = F.col("project_id") == project
-    run_rows = rollups.runs(source.read(rollups.RUN_INPUTS, tenant))
+    run_rows = source.run_rows(tenant)
     found = rollups.traces(run_rows)
     for column, value, holds in (("started_at", wanted.start, "__ge__"), ("started_at", wanted.end, "__lt__"), ("agent_name", wanted.agent, "__eq__"), ("outcome", wanted.status, "__eq__")):
         if value is not None:
@@ -62,7 +62,7 @@ class TraceDetail:
 def trace_detail(source: EventSource, project: str, trace_id: str) -> TraceDetail:
     """Three frames; an unknown trace gives empty ones. The key's filter reaches every scan."""
     here = (F.col("project_id") == project) & (F.col("trace_id") == trace_id)
-    run_rows = rollups.runs(source.read(rollups.RUN_INPUTS, here))
+    run_rows = source.run_rows(here)
     events = source.read([f.name for f in EVENTS], here)
     return TraceDetail(rollups.traces(run_rows), run_rows.orderBy("started_at", "run_id"), events.orderBy("step_index", "timestamp", "event_id"))
 

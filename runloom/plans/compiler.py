@@ -81,7 +81,7 @@ def level_rows(source: EventSource, plan: Plan, project: str | None) -> DataFram
         used += [d for d in plan.dimensions if isinstance(d, str)] + ([plan.metric.field] if plan.metric.field else [])
         columns = [c for name in used for c in level.inputs(name)] + ([level.time] if any(isinstance(d, Bucket) for d in plan.dimensions) else [])
         return source.read(columns, all_of(conditions + ([tenant] if tenant is not None else [])))
-    rows = rollups.runs(source.read(rollups.RUN_INPUTS, tenant))
+    rows = source.run_rows(tenant)
     return (rows if plan.level == "run" else rollups.traces(rows)).where(all_of(conditions))
 
 

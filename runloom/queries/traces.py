@@ -18,9 +18,11 @@ from runloom.plans.compiler import compile_plan
 from runloom.plans.model import Plan
 from runloom.plans.planner import Answered, plan_question
 from runloom.queries.messages import KEY, once_sql
+from runloom.session import remove_path, scratch_path
 from runloom.sources.events import EventSource
 from runloom.sources.tables import table
 from runloom.streaming import payloads, wire
+from runloom.streaming.store import EventStore
 
 #: The window of the tables, and the moment at which questions are asked.
 WINDOW = {"from": "2026-03-01T00:00:00Z", "to": "2026-05-01T00:00:00Z"}
@@ -225,6 +227,23 @@ def anti_insert(spark: SparkSession, folder: str) -> DataFrame:
     return late.join(early, "k", "left_anti").select("delivery_seq")
 
 
+@query(
+    "append_idempotent",
+    f"""WITH k AS (SELECT {KEY} AS k, batch_id FROM agent_events), n AS (SELECT count(*) AS n, count(DISTINCT k) AS d, count(*) FILTER (batch_id <= 100) AS early, count(DISTINCT k) FILTER (batch_id <= 100) AS early_d FROM k)
+SELECT 'early' AS batch, early_d AS inserted, early - early_d AS duplicates FROM n UNION ALL SELECT 'late', d - early_d, (n - early) - (d - early_d) FROM n UNION ALL SELECT 'all again', 0, n FROM n UNION ALL SELECT 'stored', d, 0 FROM n""",
+)
+def append_idempotent(spark: SparkSession, folder: str) -> DataFrame:
+    """Inserted messages and duplicates of three appends to a store: the first 100 batches, the others, and all once more."""
+    rows, path = table(spark, folder, "agent_events"), scratch_path(spark, "append")
+    store, found = EventStore(spark, path), []
+    for name, part in (("early", rows.where("batch_id <= 100")), ("late", rows.where("batch_id > 100")), ("all again", rows)):
+        done = store.append(part, name, "delivery_seq")
+        found.append((name, done.inserted, done.duplicates))
+    found.append(("stored", store.read().count(), 0))
+    remove_path(spark, path)
+    return spark.createDataFrame(found, "batch string, inserted long, duplicates long")
+
+
 def _wire(spark: SparkSession, folder: str) -> DataFrame:
     """The rows as wire messages: what a client would have sent, with the fields that are missing missing."""
     kind = F.col("event_type")
@@ -275,12 +294,17 @@ QUESTIONS = {
 }
 
 
+def answered(text: str, source: EventSource) -> DataFrame:
+    """The answer to a question asked at NOW about SPAN."""
+    answer = plan_question(text, NOW, SPAN)
+    if not isinstance(answer, Answered):
+        raise ValueError(answer.reason)
+    return _rounded(compile_plan(source, answer.plan).frame)
+
+
 def question(name: str, text: str, sql: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        answer = plan_question(text, NOW, SPAN)
-        if not isinstance(answer, Answered):
-            raise ValueError(answer.reason)
-        return _rounded(compile_plan(_source(spark, folder), answer.plan).frame)
+        return answered(text, _source(spark, folder))
 
     query(name, (_RUNS if " FROM r" in sql or " FROM t" in sql else _SOURCE) + sql)(run)
 

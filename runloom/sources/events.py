@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from runloom.functions.ids import one_per_message
+from runloom.operators import rollups
 
 #: Copies of a message may differ in these, so filters on them cannot run before copies collapse.
 COPY_COLUMNS = {"event_id", "metadata", "delivery_seq", "batch_id", "received_at"}
@@ -14,11 +15,21 @@ COPY_COLUMNS = {"event_id", "metadata", "delivery_seq", "batch_id", "received_at
 
 @dataclass
 class EventSource:
-    """``rows`` as delivered, or, with ``order_column`` None, already one row per message."""
+    """``rows`` as delivered, or, with ``order_column`` None, already one row per message.
+
+    ``runs``: their stored rollups, if there are any (``RollupStore``); else they are made on read.
+    """
 
     rows: DataFrame
     id_column: str = "event_id"
     order_column: str | None = "delivery_seq"
+    runs: DataFrame | None = None
+
+    def run_rows(self, where: Column | None = None) -> DataFrame:
+        """Run rollups; ``where`` may use project, run and trace."""
+        if self.runs is not None:
+            return self.runs if where is None else self.runs.where(where)
+        return rollups.runs(self.read(rollups.RUN_INPUTS, where))
 
     def read(self, columns: list[str], where: Column | None = None) -> DataFrame:
         """``columns`` of the first delivered copy of each message that satisfies ``where``.

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.ids import uuid_key
+from runloom.operators import rollups
 from runloom.operators.messages import KEY, deduplicate
-from runloom.schema import EVENTS
+from runloom.schema import EVENTS, RUN_COLUMNS
 from runloom.session import cut
 from runloom.sources.events import EventSource
 
@@ -36,6 +37,42 @@ class Appended:
     duplicates: int
 
 
+class RollupStore:
+    """Run rollups as they are after the batches that ``refresh`` was called for.
+
+    Rows lie in buckets of (project, run); a refresh recomputes the runs that a batch touched from all
+    their events, late ones included, and rewrites only their buckets.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, f"{path.rstrip('/')}/runs", buckets
+
+    def _all(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return None
+
+    def read(self) -> DataFrame:
+        rows = self._all()
+        return (rollups.runs(self.spark.createDataFrame([], EVENTS)) if rows is None else rows).select(*RUN_COLUMNS)
+
+    def refresh(self, store: EventStore, batch: str | None = None) -> None:
+        """Take in ``batch``, or everything anew."""
+        keys, events = ["project_id", "run_id"], store.read()
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int").alias("bucket")
+        stored = self._all()
+        if batch is None or stored is None:
+            rows = rollups.runs(events).select("*", bucket)
+        else:
+            touched = cut(events.where(F.col("batch") == batch).select(*keys).distinct().select("*", bucket))
+            buckets = [r[0] for r in touched.select("bucket").distinct().collect()]  # ``buckets`` at most
+            fresh = rollups.runs(events.join(touched.drop("bucket"), keys, "left_semi")).select("*", bucket)
+            kept = stored.where(F.col("bucket").isin(buckets)).join(touched.drop("bucket"), keys, "left_anti").select(*RUN_COLUMNS, "bucket")
+            rows = cut(kept.unionByName(fresh))
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+
 class EventStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, f"{path.rstrip('/')}/events"
@@ -47,8 +84,8 @@ class EventStore:
         except AnalysisException:
             return self.spark.createDataFrame([], STORED)
 
-    def source(self) -> EventSource:
-        return EventSource(self.read(), order_column=None)
+    def source(self, rollup: RollupStore | None = None) -> EventSource:
+        return EventSource(self.read(), order_column=None, runs=rollup.read() if rollup else None)
 
     def _write(self, rows: DataFrame, batch: str, mode: str) -> None:
         dated = rows.select(*[f.name for f in EVENTS]).withColumns({"event_date": F.to_date("timestamp"), "batch": F.lit(batch)})
@@ -76,14 +113,15 @@ class EventStore:
         """
         total = rows.count()
         once = cut(deduplicate(rows, "event_id", order_column).withColumn(KEY, uuid_key(F.col("event_id"))))
-        keys = once.select(KEY)
-        if once.count() <= SMALL_BATCH:
+        messages, keys = once.count(), once.select(KEY)
+        if messages <= SMALL_BATCH:
             keys = F.broadcast(keys)
-        stored = self.read().where(F.col("batch") != batch).select(uuid_key(F.col("event_id")).alias(KEY)).join(keys, KEY, "left_semi")
-        new = cut(once.join(stored, KEY, "left_anti").drop(KEY))
-        inserted = new.count()
+        stored = self.read().where(F.col("batch") != batch).select(uuid_key(F.col("event_id")).alias(KEY))
+        # of the batch's messages those that are there; bulk loads may have stored one twice
+        known = cut(stored.join(keys, KEY, "left_semi").distinct())
+        inserted = messages - known.count()
         if inserted:
-            self._write(new, batch, "overwrite")
+            self._write(once.join(known, KEY, "left_anti").drop(KEY), batch, "overwrite")
         return Appended(inserted, total - inserted)
 
     def bulk_load(self, rows: DataFrame, batch: str) -> None:
