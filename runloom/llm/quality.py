@@ -439,16 +439,21 @@ def probability(weights: np.ndarray) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def labelled(statistics: DataFrame, item: str, labels: DataFrame, label: str, prose: str) -> DataFrame:
-    """``statistics`` of the texts whose labels agree, with ``other`` (the label is not ``prose``) and ``place`` (a hash to choose by)."""
+def labelled(statistics: DataFrame, item: str, labels: DataFrame, label: str, prose: str, most: int | None = None) -> DataFrame:
+    """``statistics`` of the texts whose labels agree, with ``other`` (the label is not ``prose``) and ``place`` (a hash to choose by).
+
+    With ``most``, of the so many with the smallest hashes only; those are chosen first and broadcast.
+    """
     agreed = labels.where(F.col(item).isNotNull() & F.col(label).isNotNull()).groupBy(item).agg(F.min(label).alias("least"), F.max(label).alias("most")).where("least = most")
     chosen = agreed.select(item, (F.col("least") != prose).alias("other"), F.xxhash64(item, F.lit(11)).alias("place"))
+    if most is not None:
+        chosen = F.broadcast(chosen.orderBy("place", item).limit(most))
     return statistics.join(chosen, item)
 
 
 def fitted(statistics: DataFrame, item: str, labels: DataFrame, label: str = "label", prose: str = "prose", most: int = LABELLED) -> np.ndarray:
     """The model's weights from at most ``most`` labelled texts; those of the prior if there are none."""
-    rows = labelled(statistics, item, labels, label, prose).orderBy("place", item).limit(most).toPandas()
+    rows = labelled(statistics, item, labels, label, prose, most).orderBy("place", item).toPandas()
     return fit(rows, rows["other"].to_numpy().astype(float))
 
 
