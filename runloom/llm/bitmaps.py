@@ -26,14 +26,26 @@ def bits_for(max_ids: int, error: float) -> int:
     bits = 64
     while max_ids / bits > 40 or relative_error(max(1, max_ids), bits) > error:
         bits *= 2
-    if bits > 1 << 32:
-        raise ValueError("positions are taken from 32 hashed bits; split the identifiers by a key first")
+    if bits > 1 << 36:
+        raise ValueError("more bits than words have numbers; split the identifiers by a key first")
     return bits
 
 
+def bits_of(df: DataFrame, ids: list[str], least_ids: int, error: float) -> int:
+    """Bits that hold any group of ``df``, and ``least_ids`` identifiers at least, within the standard error ``error``.
+
+    A table of no more rows than that needs no look at its identifiers; of a larger one their number is
+    estimated within about 1 % first, so that no bitmap fills up.
+    """
+    if df.count() <= least_ids:
+        return bits_for(least_ids, error)
+    counts = df.agg(*[F.approx_count_distinct(c, 0.01) for c in ids]).first()
+    return bits_for(max(least_ids, math.ceil(1.05 * max(counts))), error)
+
+
 def position(column: Column, bits: int) -> Column:
-    """The identifier's bit: the first 32 bits of its MD5, modulo ``bits`` (a power of two)."""
-    return F.conv(F.substring(F.md5(column.cast("string")), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1))
+    """The identifier's bit: the first 60 bits of its MD5, modulo ``bits`` (a power of two)."""
+    return F.conv(F.substring(F.md5(column.cast("string")), 1, 15), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1))
 
 
 #: Names of the operator's own columns, which a key cannot have.

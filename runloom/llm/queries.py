@@ -15,27 +15,32 @@ from runloom.sources.tables import table
 
 DIMS = ["project_id", "agent_name", "model", "event_type"]
 IDS, ID_NAMES = ["user_id", "run_id", "trace_id"], ["users", "runs", "traces"]
-#: Bitmaps hold up to this many identifiers within this standard error.
-BITS = bitmaps.bits_for(max_ids=4_000_000, error=0.01)
+#: Bitmaps hold this many identifiers at least, and as many as the table has, within this standard error.
+LEAST_IDS, ERROR = 4_000_000, 0.01
+#: The bits of tables with no more identifiers than that.
+BITS = bitmaps.bits_for(LEAST_IDS, ERROR)
 PROBABILITIES = [0.5, 0.9, 0.95, 0.99]
 SUPPORT = (15, 1000)
 
 
-def _daily_words(spark: SparkSession, folder: str) -> DataFrame:
+def _daily_words(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """Daily bitmaps, and their bits."""
     events = table(spark, folder, "agent_events")
-    return bitmaps.sketch(events.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")), ["day", *DIMS], IDS, BITS)
+    bits = bitmaps.bits_of(events, IDS, LEAST_IDS, ERROR)
+    return bitmaps.sketch(events.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd")), ["day", *DIMS], IDS, bits), bits
 
 
 def p1_daily_distincts(spark: SparkSession, folder: str) -> DataFrame:
     """Users, runs and traces per day and combination of dims, subtotals included."""
-    words = bitmaps.cube(_daily_words(spark, folder), ["day"], DIMS)
-    return bitmaps.estimate(words, ["day", *DIMS, "level"], ID_NAMES, BITS)
+    words, bits = _daily_words(spark, folder)
+    return bitmaps.estimate(bitmaps.cube(words, ["day"], DIMS), ["day", *DIMS, "level"], ID_NAMES, bits)
 
 
 def p1_window_distincts(spark: SparkSession, folder: str) -> DataFrame:
     """The same over all days per project and agent, merged from the daily partial results."""
     keys = ["project_id", "agent_name"]
-    return bitmaps.estimate(bitmaps.merge(_daily_words(spark, folder), keys), keys, ID_NAMES, BITS)
+    words, bits = _daily_words(spark, folder)
+    return bitmaps.estimate(bitmaps.merge(words, keys), keys, ID_NAMES, bits)
 
 
 def _calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +201,7 @@ KEY = "lower(replace(trim(event_id, ' ' || chr(9) || chr(10) || chr(13)), '-', '
 
 
 def _bits_sql(keys: str, group: str, level: str = "") -> str:
-    marks = ", ".join(f"CAST(('0x' || substr(md5({c}), 1, 8)) AS BIGINT) & {BITS - 1} AS b_{n}" for c, n in zip(IDS, ID_NAMES))
+    marks = ", ".join(f"CAST(('0x' || substr(md5({c}), 1, 15)) AS BIGINT) & {BITS - 1} AS b_{n}" for c, n in zip(IDS, ID_NAMES))
     ones = ", ".join(f"CAST(count(DISTINCT b_{n}) AS DOUBLE) AS o_{n}" for n in ID_NAMES)
     loads = ", ".join(f"CASE WHEN o_{n} < {BITS} THEN -ln(({BITS}.0 - o_{n}) / {BITS}.0) END AS l_{n}" for n in ID_NAMES)
     out = ", ".join(f"CAST(round(l_{n} * {BITS}) AS BIGINT) AS {n}, CASE WHEN o_{n} = 0 THEN 0.0 ELSE round(3.0 * sqrt((exp(l_{n}) - l_{n} - 1) * {BITS}) / (l_{n} * {BITS}), 6) END AS {n}_error" for n in ID_NAMES)

@@ -40,7 +40,7 @@ def test_sizing():
         bits = bitmaps.bits_for(n, 0.01)
         assert bitmaps.relative_error(n, bits) <= 0.01 and all(bitmaps.relative_error(m, bits) <= 0.01 for m in (1 + n // 100, 1 + n // 2))
     with pytest.raises(ValueError):
-        bitmaps.bits_for(10**12, 0.01)
+        bitmaps.bits_for(10**13, 0.01)
 
 
 def test_estimates_within_the_bound(frame):
@@ -89,3 +89,12 @@ def test_a_group_of_nulls_has_a_row(frame):
     got = {(r.g, r.level): (r.users, r.users_error) for r in bitmaps.estimate(bitmaps.cube(words, ["day"], ["g"]), ["day", "g", "level"], ["users"], 64).collect()}
     assert set(got) == {("a", 0), ("b", 0), (None, 1)}
     assert got["a", 0] == (0, 0.0) and got["b", 0][0] == got[None, 1][0] == 1
+
+
+def test_bits_fit_the_table(spark):
+    ids = spark.range(50_000).selectExpr("id as a", "id % 10 as b")
+    assert bitmaps.bits_of(ids, ["a", "b"], 50_000, 0.01) == bitmaps.bits_for(50_000, 0.01)
+    bits = bitmaps.bits_of(ids, ["a", "b"], 100, 0.01)
+    assert bitmaps.relative_error(50_000, bits) <= 0.01 and bits <= 4 * bitmaps.bits_for(50_000, 0.01)
+    got = bitmaps.estimate(bitmaps.sketch(ids.selectExpr("a", "b", "0 as k"), ["k"], ["a", "b"], bits), ["k"], ["na", "nb"], bits).first()
+    assert abs(got.na - 50_000) <= 50_000 * got.na_error and abs(got.nb - 10) <= 1
