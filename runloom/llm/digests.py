@@ -18,9 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runloom.session import cut
+
 #: Rows that a task clusters at once.
 BLOCK = 400_000
 COMPRESSION = 200
+#: Groups times percentiles (rows of numbers and keys) up to which the counting pass broadcasts them.
+BRACKETS = 200_000
 
 
 #: Names of the operator's own columns, which a key cannot have.
@@ -157,11 +161,14 @@ def error_bound(p: Column, n: Column, compression: int = COMPRESSION) -> Column:
 
 
 def _counted(df: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
-    """``wanted`` joined to the rows of its groups (null keys match)."""
+    """``wanted`` joined to the rows of its groups (null keys match); up to BRACKETS rows of it are broadcast."""
+    wanted = cut(wanted)
     renamed = wanted.select(*[F.col(k).alias(f"w_{i}") for i, k in enumerate(keys)], *[c for c in wanted.columns if c not in keys])
     match = F.lit(True)
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"w_{i}"))
+    if wanted.count() <= BRACKETS:
+        renamed = F.broadcast(renamed)
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("x"))
     return rows.join(renamed, match).drop(*[f"w_{i}" for i in range(len(keys))])
