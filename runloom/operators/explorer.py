@@ -13,6 +13,10 @@ from runloom.schema import EVENTS
 from runloom.sources.events import EventSource
 
 
+#: Events of a trace that may be nested in one row.
+MOST_NESTED = 10_000
+
+
 @dataclass(frozen=True)
 class TraceFilter:
     """All given conditions hold; ``model``, ``user`` and ``tool`` must hold on one run of the trace."""
@@ -67,11 +71,13 @@ def trace_detail(source: EventSource, project: str, trace_id: str) -> TraceDetai
     return TraceDetail(rollups.traces(run_rows), run_rows.orderBy("started_at", "run_id"), events.orderBy("step_index", "timestamp", "event_id"))
 
 
-def nested_detail(detail: TraceDetail) -> DataFrame:
-    """The trace as one row with ``runs`` and ``events`` arrays: one trace, so the arrays are small."""
+def nested_detail(detail: TraceDetail, most: int = MOST_NESTED) -> DataFrame:
+    """The trace as one row with ``runs`` and ``events`` arrays; a trace of more than ``most`` events raises, as its row would have no bound (read the frames)."""
+    if detail.events.limit(most + 1).count() > most:
+        raise ValueError(f"the trace has more than {most} events")
     runs = detail.runs.agg(F.sort_array(F.collect_list(F.struct("started_at", "run_id", F.struct("*").alias("run")))).alias("r")).select(F.col("r.run").alias("runs"))
     events = detail.events.agg(F.sort_array(F.collect_list(F.struct("step_index", "timestamp", "event_id", F.struct("*").alias("event")))).alias("e")).select(F.col("e.event").alias("events"))
-    return detail.trace.join(runs, how="inner").join(events, how="inner")
+    return detail.trace.join(runs, how="inner").join(events, how="inner")  # one row each
 
 
 def series(result: DataFrame, dimension: str, values: list[str] | None = None) -> DataFrame:

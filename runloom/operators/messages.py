@@ -116,12 +116,18 @@ class MessageStore:
         """The kept copy of every message, with the columns that were upserted."""
         return self.merged().select(f"{VALUE}.row.*")
 
-    def compact(self) -> None:
-        """Rewrite all runs of each bucket as one; the old runs are removed when the new one is complete."""
+    def compact(self, buckets: int | None = None) -> None:
+        """Rewrite all runs of each bucket as one; the old runs are removed when the new one is complete.
+
+        With ``buckets`` the store has so many from then on (one exchange), so that buckets keep their size as it grows.
+        """
         old, old_path = self.table, f"{self.path}/generation={self.generation}"
         # leftovers of a compaction that did not end
         remove_path(self.spark, f"{self.path}/generation={self.generation + 1}")
-        self._append(self.merged(), self.generation + 1)
+        rows = self.merged()
+        if buckets is not None and buckets != self.buckets:
+            self.buckets, rows = buckets, rows.repartition(buckets, KEY)
+        self._append(rows, self.generation + 1)
         self.generation += 1
         self.spark.sql(f"DROP TABLE IF EXISTS {old}")
         remove_path(self.spark, old_path)

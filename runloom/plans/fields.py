@@ -39,6 +39,7 @@ class Level:
         return ["input_tokens", "output_tokens"] if logical == "totalTokens" and self.name == "event" else [self.physical(logical)]
 
 
+# Logical names, their columns, aggregates, operators and charts, as plans write them
 LEVELS = {
     "event": Level(
         "event",

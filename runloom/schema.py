@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names of event types, states, grains and columns, as events and rollups have them
 EVENT_TYPES = ["run_started", "llm_call", "tool_call", "step_completed", "error", "retry", "run_completed"]
 STATUSES = ["running", "success", "failed"]
 OUTCOMES = ["success", "failed", "running"]

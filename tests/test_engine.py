@@ -104,6 +104,8 @@ def test_traces_and_detail(source):
     run_row = detail.runs.first()
     assert (run_row.primary_model, run_row.step_count, run_row.error_count, run_row.retry_count, run_row.compute_ms) == ("gpt-5.2", 6, 1, 1, 3500.0)
     assert [r.event_id for r in detail.events.collect()] == [f"e{i}" for i in range(1, 7)]
+    with pytest.raises(ValueError, match="more than 2 events"):
+        explorer.nested_detail(detail, 2)
     nested = explorer.nested_detail(detail).first()
     assert len(nested.runs) == 1 and [e.event_id for e in nested.events] == [f"e{i}" for i in range(1, 7)]
     assert explorer.trace_detail(source, PROJECT, "none").trace.count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.functions.ids import one_per_message, uuid_key
-from runloom.operators.messages import MessageStore, arrival_runs, deduplicate, redelivered
+from runloom.operators.messages import MessageStore, arrival_runs, deduplicate, first_copies, redelivered
 
 A, B = "1025ff17-ce25-4f14-9dfe-ccc87dbc3571", "a2188944-029e-4806-ad13-bef21a6b3723"
 SCHEMA = "delivery_seq long, event_id string, x string"
@@ -112,3 +112,23 @@ def test_a_later_session_goes_on_with_a_store(frame, spark, tmp_path):
     assert third.buckets == 3 and third.generation == 1
     assert sorted((r.delivery_seq, r["odd name"]) for r in third.read().collect()) == [(0, "z"), (2, "b")]
     third.drop()
+
+
+def test_a_store_takes_more_buckets_when_it_is_compacted(frame, spark):
+    store = MessageStore(spark, buckets=2)
+    store.upsert(frame(rows()[:5], SCHEMA))
+    store.compact(7)
+    store.upsert(frame(rows()[3:], SCHEMA))
+    reopened = MessageStore(spark, store.path)
+    assert reopened.buckets == 7
+    assert sorted(r.delivery_seq for r in reopened.read().collect()) == [0, 20, 21, 23, 24, 25]
+    store.drop()
+
+
+def test_first_copies_keep_all_columns_and_rows_without_an_order(frame):
+    schema = "x string, delivery_seq long, event_id string, message_key string, kept string"
+    data = [(f"v{i}", i, s, "k", None) for i, s in enumerate(SPELLINGS)] + [("b", 20, B, None, "z"), ("n", None, B, "k", "z"), ("o", 30, None, "k", "z")]
+    got = first_copies(frame(data, schema))
+    assert got.columns == ["x", "delivery_seq", "event_id", "message_key", "kept"]
+    assert sorted(r.x for r in got.collect()) == ["b", "n", "o", "v0"]
+    assert first_copies(frame([], schema)).count() == 0
