@@ -104,11 +104,11 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
 
     ``targets``: (mix, source, target share, greatest number of uses of a document), a fixed small
     list. Uses: ``(mix_id, source, item, tokens, uses)``, uses of 1 or more. Shares: one row per target,
-    ``(mix_id, source, target_share, max_repeats, tokens_available, tokens_target, tokens_used, tokens_off,
-    block_tokens, share_of_target_size, share_reached, is_short)``; ``is_short`` if all documents at full
+    ``(mix_id, source, target_share, max_repeats, tokens_available, longest_tokens, tokens_target, tokens_used,
+    tokens_off, block_tokens, share_of_target_size, share_reached, is_short)``; ``is_short`` if all documents at full
     repeats have fewer tokens than the target share of the tokens of all documents. ``tokens_off`` is used
     less target; of a source that is not short it is within a block or so of ``block_tokens`` and less than
-    a document for each shard, either way and without a bias. Documents without source count
+    a document (of ``longest_tokens`` at most) for each shard, either way and without a bias. Documents without source count
     in that total and are in no mix; null or zero sizes use no tokens and are left out; a target without
     documents is short unless there are no tokens at all (then every target is 0). Equal documents are documents of their own; items must be unique.
     """
@@ -117,8 +117,8 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     size = max(1, -(-total // blocks))
     named = sorted({clean for _, clean, _, _ in targets})
-    sums = rows.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    held = {r["source"]: r["tokens"] for r in sums}
+    sums = rows.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.count("*").alias("n")).collect()
+    held, longest = {r["source"]: r["tokens"] for r in sums}, {r["source"]: r["longest"] for r in sums}
     counts = {s: 1 for s in named} | {r["source"]: min(MOST_SHARDS, -(-r["n"] // shard_rows)) for r in sums}
     shards_of = spark.createDataFrame(pd.DataFrame({"source": pd.Series(list(counts), dtype=object), "shards": pd.Series(list(counts.values()), dtype="int64")}), "source string, shards long")
     placed = rows.where("tokens > 0").join(F.broadcast(shards_of), "source").withColumn("shard", F.pmod(F.xxhash64("item", F.lit(seed)), F.col("shards"))).drop("shards")
@@ -135,7 +135,7 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
         for (_, name, share, repeats), seats, full in zip(own, turns, reached):
             available, wanted = held.get(name, 0), share * total
             short = full and available * repeats < wanted
-            report.append((mix_id, name, float(share), int(repeats), int(available), float(wanted), short))
+            report.append((mix_id, name, float(share), int(repeats), int(available), int(longest.get(name, 0)), float(wanted), short))
             if not available:
                 continue
             shares = shard_tokens[name]
@@ -156,7 +156,7 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
         .where("uses > 0")
     )
     used = uses.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"))
-    targeted = spark.createDataFrame(report, "mix_id string, source string, target_share double, max_repeats long, tokens_available long, tokens_target double, is_short boolean")
+    targeted = spark.createDataFrame(report, "mix_id string, source string, target_share double, max_repeats long, tokens_available long, longest_tokens long, tokens_target double, is_short boolean")
     shares = targeted.join(F.broadcast(used), ["mix_id", "source"], "left").withColumn("tokens_used", F.coalesce("tokens_used", F.lit(0)))
     whole = F.sum("tokens_used").over(Window.partitionBy("mix_id"))
     shares = shares.select(
@@ -165,6 +165,7 @@ def mix(sizes: DataFrame, item: str, source: str, tokens: str, targets: list[tup
         "target_share",
         "max_repeats",
         "tokens_available",
+        "longest_tokens",
         "tokens_target",
         "tokens_used",
         (F.col("tokens_used") - F.col("tokens_target")).alias("tokens_off"),

@@ -182,10 +182,10 @@ def p9_uses(spark: SparkSession, folder: str) -> DataFrame:
 def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Per target whether uses keep to their cap, a short source is used up, and another one comes within its bound of the target."""
     uses, shares = _mix(spark, folder)
-    most = uses.groupBy("mix_id", "source").agg(F.max("uses").alias("uses"), F.max("tokens").alias("longest"))
+    most = uses.groupBy("mix_id", "source").agg(F.max("uses").alias("uses"))
     off = F.when(F.col("is_short"), F.col("tokens_used") - F.col("tokens_available") * F.col("max_repeats")).otherwise(F.col("tokens_off"))
     # the tables are a shard a source: a block or two by the apportionment's rounding, and a document on the quota's edge
-    bound = F.when(F.col("is_short"), F.lit(0)).otherwise(2 * F.col("block_tokens") + F.coalesce("longest", F.lit(0)))
+    bound = F.when(F.col("is_short"), F.lit(0)).otherwise(2 * F.col("block_tokens") + F.col("longest_tokens"))
     return shares.join(F.broadcast(most), ["mix_id", "source"], "left").select("mix_id", "source", F.col("max_repeats").cast("long").alias("max_repeats"), (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("keeps_cap"), (F.abs(off) <= bound).alias("meets_target"))
 
 
